@@ -30,11 +30,7 @@ def half_up_ratio(num: str, den: str, mult: int = 10000) -> Column:
     10000 for a percent (n*100/d, two decimals), 1 for cents per unit
     shown in dollars.
     """
-    n, d = _q(num), _q(den)
-    return F.expr(
-        f"CAST(sign({n}) AS BIGINT) * ((abs({n}) * {2 * mult} + nullif({d}, 0)) "
-        f"div (2 * nullif({d}, 0))) / CAST(100 AS DOUBLE)"
-    )
+    return _ratio_sql(_q(num), _q(den), mult)
 
 
 def pct(num: str, den: str) -> Column:
@@ -47,6 +43,27 @@ def per_unit(cents: str, units: str) -> Column:
     return half_up_ratio(cents, units, 1)
 
 
+def _cents_sql(name: str) -> str:
+    return f"CAST(`{name}` * 100 AS BIGINT)"
+
+
+def _ratio_sql(n: str, d: str, mult: int) -> Column:
+    return F.expr(
+        f"CAST(sign({n}) AS BIGINT) * ((abs({n}) * {2 * mult} + nullif({d}, 0)) "
+        f"div (2 * nullif({d}, 0))) / CAST(100 AS DOUBLE)"
+    )
+
+
+def money_per_unit(money_col: str, units: str) -> Column:
+    """``round(money / units, 2)`` exactly, for a decimal(.,2) money column and a count."""
+    return _ratio_sql(_cents_sql(money_col), _q(units), 1)
+
+
+def money_pct(num_money: str, den_money: str) -> Column:
+    """``round(num / den * 100, 2)`` exactly, for two decimal(.,2) money columns."""
+    return _ratio_sql(_cents_sql(num_money), _cents_sql(den_money), 10000)
+
+
 def to_cents(col) -> Column:
     """Exact integral cents of a decimal(.,2) money column."""
     c = F.col(col) if isinstance(col, str) else col

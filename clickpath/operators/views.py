@@ -26,11 +26,13 @@ STEP_FLAGS = ("saw_product", "saw_cart", "saw_shipping", "saw_billing", "saw_tha
 def funnel_flags(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, key: str = SESSION,
                  ts: str = "created_at", pid: str = "website_pageview_id",
                  url: str = "pageview_url") -> DataFrame:
-    """One row per ``key``: ``landing_url`` (earliest view, id breaks ties),
-    ``Page_Name`` (greatest product label seen) and 0/1 step flags."""
+    """One row per ``key``: ``session_start`` (first view time), ``landing_url``
+    (earliest view, pageview id breaks ties), ``Page_Name`` (greatest product
+    label seen) and 0/1 step flags."""
     u = F.col(url)
     product_label = map_values(u, spec.product_pages)
     return pageviews.groupBy(key).agg(
+        F.min(ts).alias("session_start"),
         F.min_by(u, F.struct(F.col(ts), F.col(pid))).alias("landing_url"),
         F.max(product_label).alias("Page_Name"),
         F.max(flag(u == spec.products_url)).alias("saw_product"),
@@ -42,6 +44,11 @@ def funnel_flags(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, key: str
     )
 
 
+def with_landing_label(flags: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Add ``Landing_Page`` (label of the landing URL; NULL when the URL is not a known landing page)."""
+    return flags.withColumn("Landing_Page", map_values("landing_url", spec.landing_pages))
+
+
 def product_page_sessions(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
                           flags: DataFrame | None = None) -> DataFrame:
     """Sessions that reached a product page; one row each, under the greatest label."""
@@ -79,7 +86,8 @@ def session_funnel(sessions: DataFrame, landing: DataFrame, orders: DataFrame,
 _TOUCH_ATTRS = ("utm_source", "utm_campaign", "utm_content", "device_type", "traffic_channel")
 
 
-def user_attribution(sessions: DataFrame, orders: DataFrame, touch: str = "first_order") -> DataFrame:
+def user_attribution(sessions: DataFrame, orders: DataFrame, touch: str = "first_order",
+                     with_times: bool = False) -> DataFrame:
     """One row per user: the first session's attributes and those of the converting session.
 
     ``touch='first_order'`` takes the session of the user's earliest order
@@ -93,6 +101,7 @@ def user_attribution(sessions: DataFrame, orders: DataFrame, touch: str = "first
              .agg(F.min(F.struct("created_at", SESSION, *_TOUCH_ATTRS)).alias("t"))
              .select("user_id",
                      F.col(f"t.{SESSION}").alias("first_touch_website_session_id"),
+                     F.col("t.created_at").alias("first_touch_created_at"),
                      *[F.col(f"t.{a}").alias(f"first_touch_{a}") for a in _TOUCH_ATTRS]))
     pick = F.min if touch == "first_order" else F.max
     if touch not in ("first_order", "last_order"):
@@ -103,8 +112,10 @@ def user_attribution(sessions: DataFrame, orders: DataFrame, touch: str = "first
     last = converting.join(s, SESSION).select(
         F.col("user_id").alias("l_user_id"),
         F.col(SESSION).alias("last_touch_website_session_id"),
+        F.col("created_at").alias("last_touch_created_at"),
         *[F.col(a).alias(f"last_touch_{a}") for a in _TOUCH_ATTRS])
+    times = ["first_touch_created_at", "last_touch_created_at"] if with_times else []
     return (first.join(last, first["user_id"] == last["l_user_id"], "left")
             .select("first_touch_website_session_id", "last_touch_website_session_id", "user_id",
                     *[f"first_touch_{a}" for a in _TOUCH_ATTRS],
-                    *[f"last_touch_{a}" for a in _TOUCH_ATTRS]))
+                    *[f"last_touch_{a}" for a in _TOUCH_ATTRS], *times))

@@ -1,0 +1,6 @@
+"""Named analyses. Importing this package registers every analysis module."""
+
+from clickpath.plans import (  # noqa: F401
+    attribution, crosssell, landing, nonconverters, product, repeat, revenue, traffic,
+)
+from clickpath.plans.registry import REGISTRY  # noqa: F401

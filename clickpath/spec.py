@@ -21,6 +21,9 @@ PRODUCT_PAGES = (
     ("/the-hudson-river-mini-bear", "The Hudson River Mini bear"),
 )
 
+# Column-name stems of the per-product pivots, in the order of PRODUCT_PAGES.
+PRODUCT_COLUMN_STEMS = ("Mr_Fuzzy", "Forever_Love_Bear", "Birthday_Panda", "Hudson_Mini_Bear")
+
 # Landing URL -> landing label.
 LANDING_PAGES = (
     ("/home", "Home"),
@@ -79,6 +82,7 @@ class FunnelSpec:
     """Ordered funnel steps and page domains."""
 
     product_pages: tuple = PRODUCT_PAGES
+    product_column_stems: tuple = PRODUCT_COLUMN_STEMS
     landing_pages: tuple = LANDING_PAGES
     products_url: str = PRODUCTS_URL
     cart_url: str = CART_URL
