@@ -58,6 +58,9 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def _finish(tables: dict) -> dict:
+    """Keep the raw tables under ``raw_<name>`` and apply the ingest derivations."""
+    for name in list(tables):
+        tables[f"raw_{name}"] = tables[name]
     tables["sessions"] = clean_sessions(tables["sessions"])
     tables["pageviews"] = with_page_name(tables["pageviews"])
     tables["orders"] = with_gross_profit(tables["orders"])
@@ -73,7 +76,7 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     spark = events.sparkSession
     ev = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.from_json("props", "k INT").getField("k").alias("k"),
     ).withColumn(
         "sid",
         F.col("user_id") * SESSION_DAY_FACTOR
