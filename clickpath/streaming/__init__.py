@@ -1,0 +1,5 @@
+"""Structured Streaming: incremental per-session funnel flags."""
+
+from clickpath.streaming.session_flags import (  # noqa: F401
+    read_pageview_stream, session_flags_stream, start_session_flags,
+)

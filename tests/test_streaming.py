@@ -1,0 +1,22 @@
+"""Streaming session flags agree with the batch view on every closed session."""
+
+import os
+
+from clickpath.plans.context import Funnel
+from clickpath.sources.adapters import fixture_tables
+from clickpath.streaming import start_session_flags
+from conftest import SF_SMALL
+
+
+def test_stream_matches_batch(spark, scratch):
+    t = fixture_tables(spark, SF_SMALL, "A")
+    t["raw_pageviews"].repartition(4).write.parquet(os.path.join(scratch, "src"))
+    q = start_session_flags(spark, os.path.join(scratch, "src"), os.path.join(scratch, "sink"),
+                            os.path.join(scratch, "ckpt"), gap="1 day", lateness="1 day", available_now=True)
+    q.awaitTermination(300)
+    out = spark.read.parquet(os.path.join(scratch, "sink"))
+    cols = ["website_session_id", "Landing_Page", "Page_Name", "saw_product", "saw_cart", "saw_shipping",
+            "saw_billing", "saw_thank_you"]
+    batch = Funnel(t).flags.select(cols)
+    assert out.count() > 0.8 * batch.count()
+    assert out.select(cols).exceptAll(batch).count() == 0
