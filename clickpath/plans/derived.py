@@ -17,7 +17,7 @@ from clickpath.functions.metrics import (
 from clickpath.operators.funnel import share_of_total
 from clickpath.plans.attribution import _converted
 from clickpath.plans.context import Funnel
-from clickpath.plans.nonconverters import _non_converters
+from clickpath.plans.nonconverters import _non_converter_sessions, _non_converters, non_converter_last_visit
 from clickpath.plans.registry import analysis
 
 
@@ -122,10 +122,8 @@ def device_revenue_share(f: Funnel) -> DataFrame:
 @analysis("m_never_cart_pct", "A", also=("B",))
 def never_cart_pct(f: Funnel) -> DataFrame:
     """Non-converters and the % that never reached the cart (cart counted in sessions, as coded)."""
-    u = _non_converters(f).select("user_id")
-    s = f["sessions"].select("user_id", "website_session_id")
     m = f.landing.select("website_session_id", "saw_cart")
-    g = u.join(s, "user_id", "left").join(m, "website_session_id", "left").agg(
+    g = _non_converter_sessions(f).join(m, "website_session_id", "left").agg(
         F.count_distinct("user_id").alias("Non_Converters"),
         F.count(F.when(F.col("saw_cart") == 1, F.col("user_id"))).alias("Reached_Cart"))
     return g.withColumn("_never", F.col("Non_Converters") - F.col("Reached_Cart")).select(
@@ -215,14 +213,9 @@ def device_gap(f: Funnel, factor: float = 0.5) -> DataFrame:
 @analysis("size_retarget_pool", "B", also=("A",))
 def retarget_pool(f: Funnel, max_days: int = 90, recovery_pct: float = 5.0) -> DataFrame:
     """Non-converters seen within ``max_days`` of the data end × recovery rate × AOV (one-time)."""
-    pv = f["pageviews"]
-    end = pv.agg(F.max("created_at")).scalar()
-    per_session = pv.groupBy("website_session_id").agg(F.max("created_at").alias("last_view"))
-    last = (_non_converters(f).select("user_id")
-            .join(f["sessions"].select("user_id", "website_session_id"), "user_id", "left")
-            .join(per_session, "website_session_id", "left")
-            .groupBy("user_id").agg(F.max("last_view").alias("last_view")))
-    days = day_diff(F.col("last_view"), end)
+    end = f["pageviews"].agg(F.max("created_at")).scalar()
+    last = non_converter_last_visit(f)
+    days = day_diff(F.col("Last_Visit"), end)
     g = last.agg(F.count_if((days >= 0) & (days <= max_days)).alias("Pool_Users"))
     r = int(round(recovery_pct * 100))
     g = g.withColumn("aov_c", _aov_cents(f))

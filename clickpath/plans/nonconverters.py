@@ -18,6 +18,23 @@ def _non_converters(f: Funnel) -> DataFrame:
     return f.attribution.filter(_not_converted())
 
 
+def _non_converter_sessions(f: Funnel) -> DataFrame:
+    """Sessions of non-converting users: ``sessions ⋉ non-converters`` on user id.
+
+    Every attribution user comes from ``sessions``, so this equals
+    "non-converters ⟕ sessions" minus the unmatched rows, with the large
+    table on the left of a semi join, where adaptive execution can split a
+    user that owns a large share of all sessions.
+    """
+    users = _non_converters(f).select("user_id")
+    return f["sessions"].select("user_id", "website_session_id").join(users, "user_id", "left_semi")
+
+
+def _null_user_non_converters(f: Funnel) -> DataFrame:
+    """The attribution row of NULL-id users, if it is a non-converter (it matches no session)."""
+    return _non_converters(f).filter(F.col("user_id").isNull()).select("user_id")
+
+
 @analysis("q07_1_non_converters", "A", also=("B",))
 def non_converters(f: Funnel) -> DataFrame:
     """All users, non-converters, non-converter %."""
@@ -99,10 +116,8 @@ def checkout_drop(f: Funnel) -> DataFrame:
     Counts are sessions, as coded: a user with several such sessions is
     counted once per session.
     """
-    u = _non_converters(f).select("user_id")
-    s = f["sessions"].select("user_id", "website_session_id")
     m = f.landing.select("website_session_id", "saw_cart", "saw_shipping", "saw_billing", "saw_thank_you")
-    rows = u.join(s, "user_id", "left").join(m, "website_session_id", "left")
+    rows = _non_converter_sessions(f).join(m, "website_session_id", "left")
     c = F.col
     return rows.agg(
         F.count_distinct("user_id").alias("Total_Non_Converters"),
@@ -123,6 +138,19 @@ def recency_bucket(days_col: str, spec) -> F.Column:
     return expr.otherwise(spec.recency_else)
 
 
+def non_converter_last_visit(f: Funnel) -> DataFrame:
+    """Per non-converting user: time of the last pageview over all their sessions.
+
+    Pageviews are reduced to one last time per session before they meet the
+    users; users are matched through a semi join with sessions on the left.
+    """
+    per_session = f["pageviews"].groupBy("website_session_id").agg(F.max("created_at").alias("last_view"))
+    rows = _non_converter_sessions(f).join(per_session, "website_session_id", "left")
+    last = rows.groupBy("user_id").agg(F.max("last_view").alias("Last_Visit"))
+    nulls = _null_user_non_converters(f).select("user_id", F.lit(None).cast("timestamp_ntz").alias("Last_Visit"))
+    return last.unionByName(nulls)
+
+
 @analysis("q07_7_recency", "B", also=("A",))
 def recency(f: Funnel) -> DataFrame:
     """Non-converters by days since their last pageview (relative to the latest pageview overall).
@@ -130,13 +158,8 @@ def recency(f: Funnel) -> DataFrame:
     Pageviews are reduced to a last time per session before they meet the
     users; the dataset end is a scalar subquery, evaluated once.
     """
-    pv = f["pageviews"]
-    end = pv.agg(F.max("created_at")).scalar()
-    per_session = pv.groupBy("website_session_id").agg(F.max("created_at").alias("last_view"))
-    rows = (_non_converters(f).select("user_id")
-            .join(f["sessions"].select("user_id", "website_session_id"), "user_id", "left")
-            .join(per_session, "website_session_id", "left"))
-    last_visit = rows.groupBy("user_id").agg(F.max("last_view").alias("Last_Visit"))
+    last_visit = non_converter_last_visit(f)
+    end = f["pageviews"].agg(F.max("created_at")).scalar()
     last_visit = last_visit.withColumn("Days_Since_Visit", day_diff(F.col("Last_Visit"), end))
     g = (last_visit.withColumn("Recency_Bucket", recency_bucket("Days_Since_Visit", f.spec))
          .withColumn("_d", F.when(F.col("user_id").isNotNull(), F.col("Days_Since_Visit")))
