@@ -72,11 +72,23 @@ def _finish(tables: dict) -> dict:
 # A. clickstream
 # ---------------------------------------------------------------------------
 
+_FLAT_K = r'^\{\s*"k"\s*:\s*(-?[0-9]+)\s*\}$'
+
+
+def props_k(col: str = "props"):
+    """Integer ``k`` of the JSON ``props``. A flat ``{"k": <int>}`` object (the common shape) is
+    read with one regex, which gives exactly the JSON value; anything else goes through the
+    full JSON parser."""
+    c = F.col(col)
+    return F.when(c.rlike(_FLAT_K), F.regexp_extract(c, _FLAT_K, 1).cast("int")).otherwise(
+        F.from_json(c, "k INT").getField("k"))
+
+
 def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     spark = events.sparkSession
     ev = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.from_json("props", "k INT").getField("k").alias("k"),
+        props_k().alias("k"),
     ).withColumn(
         "sid",
         F.col("user_id") * SESSION_DAY_FACTOR
@@ -308,7 +320,18 @@ FIXTURES = {
 }
 
 
+_PLANS: dict = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str, fixture: str = "A",
                    spec: FunnelSpec = DEFAULT_SPEC) -> dict:
-    """The six funnel tables of one fixture over the driver data in ``sf_dir``."""
-    return FIXTURES[fixture](spark, sf_dir, spec)
+    """The six funnel tables of one fixture over the driver data in ``sf_dir``.
+
+    The returned DataFrames are lazy plans; they are built once per session,
+    folder and fixture and reused (nothing is cached: every action re-reads
+    the Parquet files).
+    """
+    key = (id(spark), sf_dir.rstrip("/"), fixture, spec)
+    if key not in _PLANS:
+        _PLANS[key] = FIXTURES[fixture](spark, sf_dir, spec)
+    return dict(_PLANS[key])

@@ -6,7 +6,7 @@ scattered through every query, so a site with other pages only swaps the spec.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the analysed site's page names and labels
@@ -96,7 +96,6 @@ class FunnelSpec:
     # months-active end date; parameters of the analyses that use them.
     period_split: str = "2014-08-01"
     dataset_end: str = "2015-03-19"
-    extra: dict = field(default_factory=dict)
 
     @property
     def product_urls(self) -> tuple:
