@@ -19,20 +19,20 @@ def _converted(f: Funnel, col: str = "last_touch_website_session_id") -> DataFra
     return f.attribution.filter(F.col(col).isNotNull())
 
 
-@analysis("q06_1_introduced_all", "A", also=B)
+@analysis("q06_1_introduced_all", "A", also=B, order=('-Users_Introduced',))
 def introduced_all(f: Funnel) -> DataFrame:
     """First-touch channel × campaign × content: users introduced."""
     return f.attribution.groupBy(*FIRST3).agg(F.count("user_id").alias("Users_Introduced"))
 
 
-@analysis("q06_2_introduced_converters", "A", also=B)
+@analysis("q06_2_introduced_converters", "A", also=B, order=('-Converting_Users_Introduced',))
 def introduced_converters(f: Funnel) -> DataFrame:
     """Same, converters only (a converting touch exists)."""
     return (_converted(f, "last_touch_utm_campaign").groupBy(*FIRST3)
             .agg(F.count("user_id").alias("Converting_Users_Introduced")))
 
 
-@analysis("q06_3_campaign_share", "A", also=B)
+@analysis("q06_3_campaign_share", "A", also=B, order=('-Converting_Users',))
 def campaign_share(f: Funnel) -> DataFrame:
     """First-touch campaign: converters and their share of all converters."""
     g = (_converted(f, "last_touch_utm_campaign").groupBy("first_touch_utm_campaign")
@@ -40,20 +40,20 @@ def campaign_share(f: Funnel) -> DataFrame:
     return share_of_total(g, "Converting_Users", "Pct_Of_Conversions")
 
 
-@analysis("q06_4_closed", "A", also=B)
+@analysis("q06_4_closed", "A", also=B, order=('-Sales_Closed',))
 def closed(f: Funnel) -> DataFrame:
     """Converting-touch channel × campaign × content: sales closed."""
     return _converted(f, "last_touch_traffic_channel").groupBy(*LAST3).agg(F.count("user_id").alias("Sales_Closed"))
 
 
-@analysis("q06_5_closed_share", "A", also=B)
+@analysis("q06_5_closed_share", "A", also=B, order=('-Sales_Closed',))
 def closed_share(f: Funnel) -> DataFrame:
     g = (_converted(f, "last_touch_traffic_channel").groupBy("last_touch_traffic_channel")
          .agg(F.count("user_id").alias("Sales_Closed")))
     return share_of_total(g, "Sales_Closed", "Pct_Of_Conversions")
 
 
-@analysis("q06_5b_closed_content_share", "A", also=B)
+@analysis("q06_5b_closed_content_share", "A", also=B, order=('-Sales_Closed',))
 def closed_content_share(f: Funnel) -> DataFrame:
     g = (_converted(f, "last_touch_traffic_channel")
          .groupBy("last_touch_traffic_channel", "last_touch_utm_content")
@@ -84,14 +84,14 @@ def single_session(f: Funnel) -> DataFrame:
                     pct("Single_Session_Converters", "conv").alias("Pct_Of_Converters"))
 
 
-@analysis("q06_8_paths", "A", also=B)
+@analysis("q06_8_paths", "A", also=B, order=('-Combination_Count',))
 def paths(f: Funnel) -> DataFrame:
     """First triple × converting triple: users."""
     return (_converted(f, "last_touch_traffic_channel").groupBy(*FIRST3, *LAST3)
             .agg(F.count("user_id").alias("Combination_Count")))
 
 
-@analysis("q06_8b_full_switch", "A", also=B)
+@analysis("q06_8b_full_switch", "A", also=B, order=('-Combination_Count',))
 def full_switch(f: Funnel) -> DataFrame:
     """Same, only where channel, campaign and content all differ."""
     cond = F.lit(True)
@@ -115,7 +115,7 @@ def avg_sessions(f: Funnel) -> DataFrame:
     return g.select(exact_mean("t", "n").alias("Avg_Sessions_To_Convert"))
 
 
-@analysis("q06_9b_sessions_dist", "A", also=B)
+@analysis("q06_9b_sessions_dist", "A", also=B, order=('session_count',))
 def sessions_dist(f: Funnel) -> DataFrame:
     """Sessions per converter -> users, % of converters."""
     g = _converter_session_counts(f).groupBy("session_count").agg(F.count("user_id").alias("User_Count"))
@@ -145,7 +145,7 @@ def journeys(f: Funnel) -> DataFrame:
         F.col("last_touch_created_at").alias("Last_Touch_Timestamp"), "Days_To_Convert")
 
 
-@analysis("q06_11_channel_conv_rate", "A", also=B)
+@analysis("q06_11_channel_conv_rate", "A", also=B, order=('-First_Touch_Conv_Rate_Pct',))
 def channel_conv_rate(f: Funnel) -> DataFrame:
     """First-touch channel: users, converters, conversion %."""
     g = f.attribution.groupBy("first_touch_traffic_channel").agg(
@@ -156,7 +156,7 @@ def channel_conv_rate(f: Funnel) -> DataFrame:
                     pct("Converting_Users", "All_Users").alias("First_Touch_Conv_Rate_Pct"))
 
 
-@analysis("q06_12_lifetime_revenue", "A", also=B)
+@analysis("q06_12_lifetime_revenue", "A", also=B, order=('-Total_Revenue',))
 def lifetime_revenue(f: Funnel) -> DataFrame:
     """First-touch channel: converters' total order revenue, mean per converter, converters.
 

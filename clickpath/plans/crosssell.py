@@ -12,7 +12,7 @@ from clickpath.plans.registry import analysis
 from clickpath.spec import ORDER_SINGLE, ORDER_TWO
 
 
-@analysis("q08_1_pairs", "A", also=("C",))
+@analysis("q08_1_pairs", "A", also=("C",), order=('-Times_Bought_Together',))
 def pairs(f: Funnel) -> DataFrame:
     """Primary product × cross-sell product: times bought together, % of the primary's orders.
 
@@ -55,7 +55,7 @@ def order_type(f: Funnel) -> DataFrame:
                     money_per_unit("Total_Revenue", "n_priced").alias("Avg_Order_Value"))
 
 
-@analysis("q08_3_take_rate", "A", also=("C",))
+@analysis("q08_3_take_rate", "A", also=("C",), order=('-CrossSell_Rate_Pct',))
 def take_rate(f: Funnel) -> DataFrame:
     """Per primary product: orders, orders with exactly two items, take rate %.
 

@@ -16,13 +16,13 @@ from clickpath.plans.registry import analysis
 from clickpath.spec import SEGMENT_NEW, SEGMENT_RETURNING
 
 
-@analysis("q06_4_closed_fixed", "B")
+@analysis("q06_4_closed_fixed", "B", order=('-Sales_Closed',))
 def closed_last_order(f: Funnel) -> DataFrame:
     """Sales closed by the *most recent* ordering session (the documented last touch)."""
     return attribution.closed(Funnel(f.tables, f.spec, touch="last_order"))
 
 
-@analysis("q06_8_paths_fixed", "B")
+@analysis("q06_8_paths_fixed", "B", order=('-Combination_Count',))
 def paths_last_order(f: Funnel) -> DataFrame:
     """First → most recent converting touch paths."""
     return attribution.paths(Funnel(f.tables, f.spec, touch="last_order"))

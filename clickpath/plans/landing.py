@@ -12,14 +12,14 @@ from clickpath.plans.registry import analysis
 from clickpath.spec import PERIOD_AFTER, PERIOD_BEFORE
 
 
-@analysis("q04_1_landing_share", "A")
+@analysis("q04_1_landing_share", "A", order=('-Sessions',))
 def landing_share(f: Funnel) -> DataFrame:
     """Per landing page: sessions and share of all sessions."""
     g = f.landing.groupBy("Landing_Page").agg(F.count(F.lit(1)).alias("Sessions"))
     return share_of_total(g, "Sessions", "Traffic_Share_Pct")
 
 
-@analysis("q04_1b_landing_active_period", "A")
+@analysis("q04_1b_landing_active_period", "A", order=('-Months_Active',))
 def landing_active_period(f: Funnel) -> DataFrame:
     """Per landing URL (any view of it): first / last year and month seen, months active."""
     pv = f["pageviews"].filter(F.col("pageview_url").isin(*f.spec.landing_urls))
@@ -39,14 +39,14 @@ def landing_funnel(f: Funnel) -> DataFrame:
     return funnel_rates(f.landing, ["Landing_Page"], overall=False, counts=counts)
 
 
-@analysis("q04_3_landing_order_rate", "A")
+@analysis("q04_3_landing_order_rate", "A", order=('-Order_Conv_Rate_Pct',))
 def landing_order_rate(f: Funnel) -> DataFrame:
     g = f.landing.groupBy("Landing_Page").agg(
         F.count(F.lit(1)).alias("Sessions"), F.sum("saw_thank_you").alias("Orders"))
     return g.select("Landing_Page", "Sessions", "Orders", pct("Orders", "Sessions").alias("Order_Conv_Rate_Pct"))
 
 
-@analysis("q04_4_landing_revenue", "A")
+@analysis("q04_4_landing_revenue", "A", order=('-Total_Revenue',))
 def landing_revenue(f: Funnel) -> DataFrame:
     """Per landing page: sessions, revenue, revenue per session."""
     rows = f.landing.select("website_session_id", "Landing_Page").join(
@@ -82,7 +82,7 @@ def landing_product_conv(f: Funnel) -> DataFrame:
     return _product_mix(f).groupBy("Landing_Page").agg(*aggs).select("Landing_Page", *rates)
 
 
-@analysis("q04_7_landing_trend", "A")
+@analysis("q04_7_landing_trend", "A", order=('Landing_Page', 'Year', 'Month'))
 def landing_trend(f: Funnel) -> DataFrame:
     """Per month of the session start × landing page: five step rates and overall rate."""
     v = f.flags.select(year_of("session_start").alias("Year"), month_of("session_start").alias("Month"),
@@ -90,7 +90,7 @@ def landing_trend(f: Funnel) -> DataFrame:
     return funnel_rates(v, ["Year", "Month", "Landing_Page"], overall=True)
 
 
-@analysis("q04_8_landing_bounce", "A")
+@analysis("q04_8_landing_bounce", "A", order=('-Bounce_Rate_Pct',))
 def landing_bounce(f: Funnel) -> DataFrame:
     """Per landing page: sessions that never reached the product listing, and their %."""
     g = f.landing.groupBy("Landing_Page").agg(
@@ -100,7 +100,7 @@ def landing_bounce(f: Funnel) -> DataFrame:
                     pct("Bounced_Sessions", "Sessions").alias("Bounce_Rate_Pct"))
 
 
-@analysis("q04_9_landing_device", "A")
+@analysis("q04_9_landing_device", "A", order=('Landing_Page', 'device_type'))
 def landing_device(f: Funnel) -> DataFrame:
     """Landing page × device: sessions, orders, order %, product %, cart %."""
     rows = f.landing.join(f["sessions"].select("website_session_id", "device_type"), "website_session_id")

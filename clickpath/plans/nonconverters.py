@@ -51,13 +51,13 @@ def _non_conversion_by(f: Funnel, key: str) -> DataFrame:
                     pct("Non_Converting_Users", "All_Users").alias("Non_Conversion_Rate_Pct"))
 
 
-@analysis("q07_2_by_channel", "A", also=("B",))
+@analysis("q07_2_by_channel", "A", also=("B",), order=('-Non_Converting_Users',))
 def by_channel(f: Funnel) -> DataFrame:
     """First-touch channel: users, non-converters, non-conversion %."""
     return _non_conversion_by(f, "first_touch_traffic_channel")
 
 
-@analysis("q07_3_by_device", "A", also=("B",))
+@analysis("q07_3_by_device", "A", also=("B",), order=('-Non_Conversion_Rate_Pct',))
 def by_device(f: Funnel) -> DataFrame:
     """First-touch device: users, non-converters, non-conversion % (counting non-NULL channels)."""
     return _non_conversion_by(f, "first_touch_device_type")
@@ -82,13 +82,13 @@ def avg_sessions_non_converters(f: Funnel) -> DataFrame:
     return g.select(avg_2dp_decimal("t", "n").alias("Avg_Sessions_Before_Drop_Off"))
 
 
-@analysis("q07_4b_sessions_dist", "A", also=("B",))
+@analysis("q07_4b_sessions_dist", "A", also=("B",), order=('session_count',))
 def sessions_dist_non_converters(f: Funnel) -> DataFrame:
     g = _non_converter_session_counts(f).groupBy("session_count").agg(F.count("user_id").alias("User_Count"))
     return share_of_total(g, "User_Count", "Pct")
 
 
-@analysis("q07_5_last_page", "B", also=("A",))
+@analysis("q07_5_last_page", "B", also=("A",), order=('-User_Count',))
 def last_page(f: Funnel) -> DataFrame:
     """Page name of the last pageview of each non-converter's last session: users.
 
@@ -151,7 +151,7 @@ def non_converter_last_visit(f: Funnel) -> DataFrame:
     return last.unionByName(nulls)
 
 
-@analysis("q07_7_recency", "B", also=("A",))
+@analysis("q07_7_recency", "B", also=("A",), order=('Avg_Days_Since_Visit',))
 def recency(f: Funnel) -> DataFrame:
     """Non-converters by days since their last pageview (relative to the latest pageview overall).
 

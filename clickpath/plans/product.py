@@ -21,7 +21,7 @@ def product_funnel(f: Funnel) -> DataFrame:
                         with_product_step=False)
 
 
-@analysis("q03_2_revenue_per_visit", "A")
+@analysis("q03_2_revenue_per_visit", "A", order=('-Revenue_Per_Page_Visit',))
 def revenue_per_visit(f: Funnel) -> DataFrame:
     """Per product page: visits, orders, revenue of those sessions, revenue per visit."""
     visits = f.product_view.select("website_session_id", "Page_Name", "saw_thank_you")
@@ -33,7 +33,7 @@ def revenue_per_visit(f: Funnel) -> DataFrame:
                     money_per_unit("Total_Revenue", "Saw_Product").alias("Revenue_Per_Page_Visit"))
 
 
-@analysis("q03_3_product_order_rate", "A")
+@analysis("q03_3_product_order_rate", "A", order=('-Session_To_Order_Conv_Pct',))
 def product_order_rate(f: Funnel) -> DataFrame:
     """Per product page: visits, orders, visit-to-order %."""
     g = f.product_view.groupBy("Page_Name").agg(
@@ -42,7 +42,7 @@ def product_order_rate(f: Funnel) -> DataFrame:
                     pct("Orders", "Saw_Product").alias("Session_To_Order_Conv_Pct"))
 
 
-@analysis("q03_4_product_funnel_trend", "A")
+@analysis("q03_4_product_funnel_trend", "A", order=('Page_Name', 'Year', 'Month'))
 def product_funnel_trend(f: Funnel) -> DataFrame:
     """Per month of the session's first pageview × product page: the four step rates.
 

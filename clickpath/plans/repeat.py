@@ -48,7 +48,7 @@ def new_vs_returning(f: Funnel) -> DataFrame:
                     money_per_unit("Revenue", "joined_rows").alias("Revenue_Per_Session"))
 
 
-@analysis("q02_2_repeat_product_rate", "A")
+@analysis("q02_2_repeat_product_rate", "A", order=('-Repeat_Purchases_Per_Month',))
 def repeat_product_rate(f: Funnel) -> DataFrame:
     """Per product bought in repeat sessions: months in market, purchases, purchases per month (integer)."""
     repeat_sessions = f["sessions"].filter(F.col("is_repeat_session") == 1).select("website_session_id")
@@ -67,7 +67,7 @@ def repeat_product_rate(f: Funnel) -> DataFrame:
                  F.expr("Purchase_Count div nullif(Months_In_Market, 0)"))
 
 
-@analysis("q02_3_repeat_session_rate", "A")
+@analysis("q02_3_repeat_session_rate", "A", order=('Year', 'Month'))
 def repeat_session_rate(f: Funnel) -> DataFrame:
     """Per calendar month: sessions, repeat sessions, repeat %."""
     s = f["sessions"]
@@ -86,7 +86,7 @@ def orders_per_user(f: Funnel) -> DataFrame:
     return g.select(avg_2dp_decimal("total", "users").alias("Avg_Orders_Per_Converting_User"))
 
 
-@analysis("q02_5_cohort_retention", "B")
+@analysis("q02_5_cohort_retention", "B", order=('Cohort_Month', 'Months_Since_First_Purchase'))
 def cohort_retention(f: Funnel) -> DataFrame:
     """First-order month cohorts × months since: users ordering again, cohort size, retention %.
 

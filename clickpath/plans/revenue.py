@@ -10,7 +10,7 @@ from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 
 
-@analysis("q01_1_product_margin", "A", also=("C",))
+@analysis("q01_1_product_margin", "A", also=("C",), order=('-Revenue',))
 def product_margin(f: Funnel) -> DataFrame:
     """Per product (item-level prices): revenue, COGS, gross profit, margin %."""
     items = f["order_items"].select("product_id", "price_usd", "cogs_usd", "gross_profit")
@@ -28,7 +28,7 @@ def product_margin(f: Funnel) -> DataFrame:
     )
 
 
-@analysis("q01_2_monthly_margin", "A", also=("C",))
+@analysis("q01_2_monthly_margin", "A", also=("C",), order=('Year', 'Month'))
 def monthly_margin(f: Funnel) -> DataFrame:
     """Per calendar month of order: revenue, gross profit, margin %, orders."""
     o = f["orders"]
@@ -40,7 +40,7 @@ def monthly_margin(f: Funnel) -> DataFrame:
                     money_pct("gp", "rev").alias("Margin_Pct"), "Order_Count")
 
 
-@analysis("q01_3_refund_rate", "A", also=("C",))
+@analysis("q01_3_refund_rate", "A", also=("C",), order=('-Refund_Rate_Pct',))
 def refund_rate(f: Funnel) -> DataFrame:
     """Per product: items sold, refunds, refund %, revenue lost (NULL when nothing was refunded).
 

@@ -13,14 +13,14 @@ from clickpath.plans.registry import analysis
 _MIX = ("traffic_channel", "utm_campaign", "device_type")
 
 
-@analysis("q05_1_traffic_share", "A")
+@analysis("q05_1_traffic_share", "A", order=('traffic_channel', 'utm_campaign', 'device_type'))
 def traffic_share(f: Funnel) -> DataFrame:
     """Channel × campaign × device: sessions and share of all sessions."""
     g = f["sessions"].groupBy(*_MIX).agg(F.count("website_session_id").alias("Sessions"))
     return share_of_total(g, "Sessions", "Traffic_Share_Pct")
 
 
-@analysis("q05_2_campaign_period", "A")
+@analysis("q05_2_campaign_period", "A", order=('-Months_Active',))
 def campaign_period(f: Funnel) -> DataFrame:
     """Per campaign: first and last year seen, months between first and last session."""
     g = f["sessions"].groupBy("utm_campaign").agg(F.min("created_at").alias("first"),
@@ -29,7 +29,7 @@ def campaign_period(f: Funnel) -> DataFrame:
                     year_of("last").alias("Last_Active_Year"), month_diff("first", "last").alias("Months_Active"))
 
 
-@analysis("q05_3_new_vs_repeat", "A")
+@analysis("q05_3_new_vs_repeat", "A", order=('traffic_channel', 'utm_campaign', 'device_type'))
 def new_vs_repeat(f: Funnel) -> DataFrame:
     """Channel × campaign × device: new and returning sessions."""
     return f["sessions"].groupBy(*_MIX).agg(
@@ -52,11 +52,11 @@ campaign_funnel = _rates_by("utm_campaign", "q05_6_campaign_funnel")
 content_funnel = _rates_by("utm_content", "q05_7_content_funnel")
 
 
-@analysis("q05_8_multivariate_rank", "A")
+@analysis("q05_8_multivariate_rank", "A", order=('-Overall_Conv_Rate_Pct',))
 def multivariate_rank(f: Funnel) -> DataFrame:
     """Device × channel × campaign × content: the step rates, best overall conversion first."""
     keys = ["device_type", "traffic_channel", "utm_campaign", "utm_content"]
-    return funnel_rates(f.session_funnel, keys, overall=True).orderBy(F.col("Overall_Conv_Rate_Pct").desc())
+    return funnel_rates(f.session_funnel, keys, overall=True)
 
 
 def _revenue_by(key: str, fixture_key: str):

@@ -18,9 +18,13 @@ def test_no_cartesian_no_python(spark, key):
 
 
 def test_filter_and_pruning_reach_parquet(spark):
-    df = entry.queries()["q06_1_introduced_all_b"](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderdate" in plan \
-        or "ReadSchema: struct<o_orderkey" in plan
-    df2 = entry.queries()["q04_1b_landing_active_period"](spark, SF_SMALL)
-    assert "PushedFilters" in _plan(df2)
+    plan = _plan(entry.queries()["q06_4_closed_b"](spark, SF_SMALL))
+    assert "EqualTo(o_orderpriority,1-URGENT)" in plan
+    # only the used columns are read: the totals and the line items are never scanned here
+    assert "o_totalprice" not in plan and "lineitem" not in plan
+
+
+def test_top2_is_limited_before_the_shuffle(spark):
+    from clickpath.sources.adapters import fixture_tables
+    plan = _plan(fixture_tables(spark, SF_SMALL, "A")["order_items"])
+    assert "WindowGroupLimit" in plan and "Partial" in plan
