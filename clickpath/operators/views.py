@@ -75,9 +75,14 @@ def session_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 
 
 def session_funnel(sessions: DataFrame, landing: DataFrame, orders: DataFrame,
-                   order_items: DataFrame) -> DataFrame:
-    """Every session: UTM attributes, funnel flags (NULL without pageviews), revenue (NULL without order)."""
-    s = sessions.select(SESSION, "utm_source", "utm_campaign", "utm_content", "device_type", "traffic_channel")
+                   order_items: DataFrame, extra_cols: tuple = ()) -> DataFrame:
+    """Every session: UTM attributes, funnel flags (NULL without pageviews), revenue (NULL without order).
+
+    ``extra_cols`` carries further session columns (e.g. ``created_at``) so a
+    report never has to join the session table back.
+    """
+    s = sessions.select(SESSION, "utm_source", "utm_campaign", "utm_content", "device_type", "traffic_channel",
+                        *extra_cols)
     m = landing.select(SESSION, *STEP_FLAGS)
     return (s.join(m, SESSION, "left")
             .join(session_revenue(orders, order_items), SESSION, "left"))

@@ -45,14 +45,29 @@ class Funnel:
         t = self.tables
         return session_funnel(t["sessions"], self.landing, t["orders"], t["order_items"])
 
+    def session_funnel_with(self, *extra_cols: str) -> DataFrame:
+        """The session funnel plus further session columns."""
+        t = self.tables
+        return session_funnel(t["sessions"], self.landing, t["orders"], t["order_items"], extra_cols=extra_cols)
+
     @cached_property
     def attribution(self) -> DataFrame:
         t = self.tables
         return user_attribution(t["sessions"], t["orders"], touch=self.touch, with_times=True)
 
-    def materialize(self, path: str, mode: str = "overwrite") -> "Funnel":
-        """Write the views once (Parquet) and return a Funnel that reads them back."""
+    def materialize(self, path: str | None = None, mode: str = "overwrite") -> "Funnel":
+        """Write the views once (Parquet) and return a Funnel that reads them back.
+
+        Without ``path`` the views go under the session's ``spark.checkpoint.dir``
+        (a shared folder on a cluster), so the written tables survive the loss
+        of any executor and cut the lineage of every report built on them.
+        """
         spark = self.tables["sessions"].sparkSession
+        if path is None:
+            import uuid
+
+            from clickpath.session import ensure_checkpoint_dir
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickpath-views-{uuid.uuid4().hex}"
         out = Funnel(self.tables, self.spec, self.touch)
         for name in ("flags", "session_funnel", "attribution"):
             getattr(self, name).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")

@@ -119,8 +119,7 @@ def before_after(f: Funnel) -> DataFrame:
     spec = f.spec
     period = F.when(F.col("created_at") < F.lit(spec.period_split).cast("timestamp_ntz"),
                     F.lit(PERIOD_BEFORE)).otherwise(F.lit(PERIOD_AFTER))
-    sf = f.session_funnel.select("website_session_id", "saw_thank_you", "session_revenue")
-    rows = f["sessions"].select("website_session_id", period.alias("Period")).join(sf, "website_session_id", "left")
+    rows = f.session_funnel_with("created_at").select(period.alias("Period"), "saw_thank_you", "session_revenue")
     g = rows.groupBy("Period").agg(
         F.count(F.lit(1)).alias("Sessions"), F.sum("saw_thank_you").alias("Orders"),
         F.sum("session_revenue").cast(MONEY).alias("Total_Revenue"))

@@ -26,3 +26,11 @@ def test_duplicate_pageview_leaves_views_unchanged(spark):
     t2["pageviews"] = t["pageviews"].unionByName(t["pageviews"].limit(50))
     for a, b in zip(_views(Funnel(t)), _views(Funnel(t2))):
         assert spark_rows(a) == spark_rows(b)
+
+
+def test_materialized_views_give_same_reports(spark, scratch):
+    from clickpath.plans import landing, nonconverters
+    f = Funnel(fixture_tables(spark, SF_SMALL, "A"))
+    m = f.materialize(scratch + "/views")
+    for fn in (landing.landing_funnel, landing.before_after, nonconverters.checkout_drop):
+        assert spark_rows(fn(f)) == spark_rows(fn(m))
