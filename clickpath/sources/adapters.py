@@ -332,6 +332,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str, fixture: str = "A",
     the Parquet files).
     """
     key = (id(spark), sf_dir.rstrip("/"), fixture, spec)
-    if key not in _PLANS:
-        _PLANS[key] = FIXTURES[fixture](spark, sf_dir, spec)
-    return dict(_PLANS[key])
+    hit = _PLANS.get(key)
+    if hit is None or hit[0] is not spark:
+        # the entry holds the session itself, so its id cannot be reused by another session
+        hit = _PLANS[key] = (spark, FIXTURES[fixture](spark, sf_dir, spec))
+    return dict(hit[1])

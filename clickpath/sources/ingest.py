@@ -86,8 +86,23 @@ def load_csv_tables(spark: SparkSession, data_path: str, files: dict = CSV_FILES
     return {t: read_csv_table(spark, f"{base}/{name}", t) for t, name in files.items()}
 
 
-def clean_tables(raw: dict) -> dict:
-    """Ingest derivations: channel then 'none' fill on sessions, page name, gross profit."""
+CASE_FOLDED = {"sessions": ("utm_source", "utm_campaign", "utm_content", "device_type", "http_referer"),
+               "pageviews": ("pageview_url",)}
+
+
+def fold_case(df: DataFrame, cols) -> DataFrame:
+    """``lower(trim(x))`` on the given text columns: string equality then behaves like a
+    case-insensitive, trailing-space-insensitive collation, decided once at ingest."""
+    return df.select(*[F.lower(F.trim(F.col(c))).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def clean_tables(raw: dict, case_insensitive: bool = False) -> dict:
+    """Ingest derivations: channel then 'none' fill on sessions, page name, gross profit.
+
+    ``case_insensitive=True`` folds URLs and UTM values first (binary comparison otherwise).
+    """
+    if case_insensitive:
+        raw = {t: fold_case(df, CASE_FOLDED[t]) if t in CASE_FOLDED else df for t, df in raw.items()}
     out = dict(raw)
     out["sessions"] = clean_sessions(raw["sessions"])
     out["pageviews"] = with_page_name(raw["pageviews"])

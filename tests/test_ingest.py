@@ -49,3 +49,12 @@ def test_sinks_and_load_counts(spark, scratch):
     export_csv(clean, os.path.join(scratch, "csv"))
     back = spark.read.option("header", True).csv(os.path.join(scratch, "csv", "sessions_clean"))
     assert back.count() == 3 and "traffic_channel" in back.columns
+
+
+def test_case_folding_option(spark, scratch):
+    _write(scratch)
+    with open(os.path.join(scratch, "website_pageviews.csv"), "a") as fh:
+        fh.write("3,2012-03-19 08:06:00,1,/Cart \n")
+    clean = clean_tables(load_csv_tables(spark, scratch), case_insensitive=True)
+    urls = {r.pageview_url for r in clean["pageviews"].collect()}
+    assert "/cart" in urls
