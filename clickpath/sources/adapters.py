@@ -102,12 +102,16 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
                      F.col("f.k").alias("first_k"), F.col("f.user_id").alias("first_user")))
 
     # Sessions: attributes from the first event; repeat unless it is the user's first session.
-    user_first = ev.groupBy("user_id").agg(F.min("sid").alias("user_first_sid"))
+    # The user's first session comes from the session-grain table (one row per session), and the
+    # left join on a per-user aggregate is dropped by Catalyst when a report does not read the flag.
+    # Keyed by struct(user): struct equality is null-safe (NULL users form one user, as in SQL
+    # GROUP BY), and unlike <=> it still lets the optimizer remove the join when it is unused.
+    user_first = first.groupBy(F.struct("first_user").alias("uf_user")).agg(F.min("sid").alias("user_first_sid"))
     day = F.col("sid") - F.col("first_user") * SESSION_DAY_FACTOR
     k = F.col("first_k")
     source = F.when(k < 50, "s_a").when(k < 70, "s_b").when(k < 80, "s_c")
     sessions = (
-        first.join(user_first, first["first_user"] == user_first["user_id"])
+        first.join(user_first, F.struct(first["first_user"]) == user_first["uf_user"], "left")
         .select(
             F.col("sid").alias("website_session_id"),
             F.col("first_ts").alias("created_at"),
@@ -190,10 +194,11 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
 
 def _journey_sessions(orders: DataFrame) -> DataFrame:
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    first = (o.groupBy("o_custkey")
+    first = (o.groupBy(F.struct("o_custkey").alias("cust"))
              .agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f"))
-             .select(F.col("o_custkey").alias("cust"), F.col("f.o_orderkey").alias("first_key")))
-    return o.join(first, o["o_custkey"] == first["cust"]).select(
+             .select("cust", F.col("f.o_orderkey").alias("first_key")))
+    # struct key: null-safe, and removable by the optimizer when is_repeat_session is not read
+    return o.join(first, F.struct(o["o_custkey"]) == first["cust"], "left").select(
         F.col("o_orderkey").alias("website_session_id"),
         F.col("o_orderdate").alias("created_at"),
         F.col("o_custkey").alias("user_id"),
@@ -276,7 +281,8 @@ def basket(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
                  .select("l_orderkey", "n_lines",
                          F.col("f.order_item_id").alias("primary_item_id"),
                          F.col("f.p_type").alias("primary_type")))
-    items = (lines.join(per_order.select("l_orderkey", "primary_item_id"), "l_orderkey")
+    # every line has its order in per_order; a left join lets Catalyst drop it when unused
+    items = (lines.join(per_order.select("l_orderkey", "primary_item_id"), "l_orderkey", "left")
              .withColumn("price_usd", F.col("l_extendedprice").cast(MONEY))
              .withColumn("cogs_usd", F.expr("round(price_usd * 0.4, 2)").cast(MONEY)))
     order_items = items.select(
