@@ -53,12 +53,17 @@ def repeat_product_rate(f: Funnel) -> DataFrame:
     """Per product bought in repeat sessions: months in market, purchases, purchases per month (integer)."""
     repeat_sessions = f["sessions"].filter(F.col("is_repeat_session") == 1).select("website_session_id")
     o = f["orders"].select("order_id", "website_session_id").join(repeat_sessions, "website_session_id", "left_semi")
-    rows = (o.join(f["order_items"].select("order_id", "product_id", F.col("created_at").alias("item_ts")),
-                   "order_id", "left")
+    # Items are reduced to one row per (order, product) before the join, so an order with a
+    # huge number of items is one small row set on the right side of the outer join.
+    items = f["order_items"].groupBy("order_id", "product_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("item_ts"))
+    rows = (o.join(items, "order_id", "left")
             .join(f["products"].select("product_id", "product_name", F.col("created_at").alias("launch")),
                   "product_id", "left"))
+    # COUNT(product_name) over the item rows = the item count where the product is known
     g = rows.groupBy("product_name", "launch").agg(
-        F.max("item_ts").alias("last_item"), F.count("product_name").alias("Purchase_Count"))
+        F.max("item_ts").alias("last_item"),
+        F.coalesce(F.sum(F.when(F.col("product_name").isNotNull(), F.col("n"))), F.lit(0)).alias("Purchase_Count"))
     months = month_diff("launch", "last_item")
     return g.select(
         F.col("product_name").alias("Product"), F.col("launch").alias("Launch_Date"),

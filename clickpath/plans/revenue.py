@@ -48,10 +48,16 @@ def refund_rate(f: Funnel) -> DataFrame:
     the product names come in, so the fact join never carries a name column.
     """
     items = f["order_items"].select("order_item_id", "product_id")
-    refunds = f["order_item_refunds"].select("order_item_id", "order_item_refund_id", "refund_amount_usd")
-    per_id = (items.join(refunds, "order_item_id", "left").groupBy("product_id").agg(
-        F.count("order_item_id").alias("items"), F.count("order_item_refund_id").alias("refunds"),
-        F.sum("refund_amount_usd").alias("lost")))
+    # refunds reduced to one row per item first: the outer join's right side is unique per key
+    refunds = f["order_item_refunds"].groupBy("order_item_id").agg(
+        F.count("order_item_refund_id").alias("n_ref"), F.sum("refund_amount_usd").alias("amt"))
+    joined = items.join(refunds, "order_item_id", "left")
+    # each item row stands for max(1, refunds) rows of the item ⟕ refund join
+    per_id = joined.groupBy("product_id").agg(
+        F.sum(F.when(F.col("order_item_id").isNotNull(), F.greatest(F.coalesce("n_ref", F.lit(0)), F.lit(1)))
+              ).alias("items"),
+        F.sum(F.coalesce("n_ref", F.lit(0))).alias("refunds"),
+        F.sum("amt").alias("lost"))
     g = (f["products"].select("product_id", "product_name").join(per_id, "product_id", "left")
          .groupBy("product_name").agg(
              F.coalesce(F.sum("items"), F.lit(0)).alias("Total_Items_Sold"),
