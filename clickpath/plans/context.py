@@ -69,7 +69,16 @@ class Funnel:
             from clickpath.session import ensure_checkpoint_dir
             path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickpath-views-{uuid.uuid4().hex}"
         out = Funnel(self.tables, self.spec, self.touch)
+        from pyspark.sql import functions as F
         for name in ("flags", "session_funnel", "attribution"):
-            getattr(self, name).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
-            out.__dict__[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+            df = getattr(self, name)
+            w = df.write.mode(mode)
+            if name == "flags":
+                # partitioned by the month the session started: a month of new data rewrites
+                # one partition (with dynamic partition overwrite), reports prune by month
+                df = df.withColumn("session_month", F.trunc("session_start", "MM"))
+                w = df.write.mode(mode).partitionBy("session_month")
+            w.parquet(f"{path.rstrip('/')}/{name}")
+            back = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+            out.__dict__[name] = back.drop("session_month") if name == "flags" else back
         return out

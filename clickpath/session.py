@@ -60,3 +60,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir
+
+
+# Cluster settings for a large input; a job is submitted with these (spark-submit --conf ...).
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024 ** 2,
+                           minimum: int = 200, maximum: int = 200_000) -> int:
+    """Initial shuffle partitions for ``input_bytes`` of input: about ``target_bytes`` each.
+
+    Adaptive execution then coalesces small partitions and splits skewed ones;
+    the initial number only has to be large enough that no partition spills
+    badly before AQE sees the real sizes (100 TB -> about 400k, capped).
+    """
+    n = -(-int(input_bytes) // int(target_bytes))
+    return max(minimum, min(maximum, n))
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int) -> dict:
+    """Apply :data:`SCALE_CONF` and a shuffle partition count sized from the input."""
+    conf = dict(SCALE_CONF)
+    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

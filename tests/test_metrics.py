@@ -39,3 +39,10 @@ def test_month_and_day_boundaries(spark):
 def test_integer_division_truncates(spark):
     df = spark.createDataFrame([(7, 2)], "p bigint, m bigint")
     assert df.select(F.expr("p div nullif(m, 0)")).first()[0] == 3
+
+
+def test_shuffle_partitions_sizing():
+    from clickpath.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10 * 1024 ** 2) == 200
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 200_000
+    assert shuffle_partitions_for(10 * 1024 ** 4) == 40_960
