@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickpath.functions.metrics import MONEY, money_per_unit, month_diff, pct, to_cents, year_of
+from clickpath.functions.metrics import MONEY, money_per_unit, month_diff, pct, year_of
 
 _STEPS = ("saw_product", "saw_cart", "saw_shipping", "saw_billing", "saw_thank_you")
 _RATE_NAMES = ("Product_Conv_Pct", "Cart_Conv_Pct", "Shipping_Conv_Pct", "Billing_Conv_Pct", "Purchase_Conv_Pct")
@@ -61,17 +61,15 @@ def share_of_total(grouped: DataFrame, count_col: str, pct_name: str) -> DataFra
     return grouped.withColumn("_total", total).withColumn(pct_name, pct(count_col, "_total")).drop("_total")
 
 
-def active_period(df: DataFrame, key: str, ts: str = "created_at", key_alias: str | None = None,
-                  with_months: bool = True) -> DataFrame:
-    """Per key: first and last time, their years / months, and months between them."""
+def active_period(df: DataFrame, key: str, ts: str = "created_at") -> DataFrame:
+    """Per key: year and month of the first and last time, and month boundaries between them."""
     g = df.groupBy(key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    out = g.select(
-        F.col(key).alias(key_alias or key),
+    return g.select(
+        key,
         year_of("_first").alias("first_year"), F.month("_first").cast("bigint").alias("first_month"),
         year_of("_last").alias("last_year"), F.month("_last").cast("bigint").alias("last_month"),
         month_diff("_first", "_last").alias("months"),
     )
-    return out
 
 
-__all__ = ["funnel_rates", "revenue_per", "share_of_total", "active_period", "MONEY", "to_cents"]
+__all__ = ["funnel_rates", "revenue_per", "share_of_total", "active_period", "MONEY"]

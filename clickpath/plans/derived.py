@@ -17,7 +17,7 @@ from clickpath.functions.metrics import (
 from clickpath.operators.funnel import share_of_total
 from clickpath.plans.attribution import _converted
 from clickpath.plans.context import Funnel
-from clickpath.plans.nonconverters import _non_converter_sessions, _non_converters, non_converter_last_visit
+from clickpath.plans.nonconverters import _non_converter_sessions, non_converter_last_visit
 from clickpath.plans.registry import analysis
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.functions.metrics import MONEY, money_per_unit, month_diff, month_of, pct, year_of
-from clickpath.operators.funnel import funnel_rates, revenue_per, share_of_total
+from clickpath.functions.metrics import MONEY, money_per_unit, month_of, pct, year_of
+from clickpath.operators.funnel import active_period, funnel_rates, revenue_per, share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 from clickpath.spec import PERIOD_AFTER, PERIOD_BEFORE
@@ -23,12 +23,11 @@ def landing_share(f: Funnel) -> DataFrame:
 def landing_active_period(f: Funnel) -> DataFrame:
     """Per landing URL (any view of it): first / last year and month seen, months active."""
     pv = f["pageviews"].filter(F.col("pageview_url").isin(*f.spec.landing_urls))
-    g = pv.groupBy("pageview_url").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
-    return g.select(
+    return active_period(pv, "pageview_url").select(
         F.col("pageview_url").alias("Landing_Page"),
-        year_of("first").alias("Launch_Year"), month_of("first").alias("Launch_Month"),
-        year_of("last").alias("Retirement_Year"), month_of("last").alias("Retirement_Month"),
-        month_diff("first", "last").alias("Months_Active"))
+        F.col("first_year").alias("Launch_Year"), F.col("first_month").alias("Launch_Month"),
+        F.col("last_year").alias("Retirement_Year"), F.col("last_month").alias("Retirement_Month"),
+        F.col("months").alias("Months_Active"))
 
 
 @analysis("q04_2_landing_funnel", "A")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.functions.metrics import month_diff, year_of
-from clickpath.operators.funnel import funnel_rates, revenue_per, share_of_total
+from clickpath.operators.funnel import active_period, funnel_rates, revenue_per, share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 
@@ -23,10 +22,9 @@ def traffic_share(f: Funnel) -> DataFrame:
 @analysis("q05_2_campaign_period", "A", order=('-Months_Active',))
 def campaign_period(f: Funnel) -> DataFrame:
     """Per campaign: first and last year seen, months between first and last session."""
-    g = f["sessions"].groupBy("utm_campaign").agg(F.min("created_at").alias("first"),
-                                                  F.max("created_at").alias("last"))
-    return g.select("utm_campaign", year_of("first").alias("Launch_Year"),
-                    year_of("last").alias("Last_Active_Year"), month_diff("first", "last").alias("Months_Active"))
+    return active_period(f["sessions"], "utm_campaign").select(
+        "utm_campaign", F.col("first_year").alias("Launch_Year"), F.col("last_year").alias("Last_Active_Year"),
+        F.col("months").alias("Months_Active"))
 
 
 @analysis("q05_3_new_vs_repeat", "A", order=('traffic_channel', 'utm_campaign', 'device_type'))

@@ -98,3 +98,14 @@ def test_seeded_violations_are_reported(spark):
     assert quality.refund_cap(f).first().violations == 1
     recon = quality.price_reconciliation_outer(f).collect()
     assert {r.order_id for r in recon} >= {11}
+
+
+def test_full_switch_needs_all_three_to_differ(spark):
+    from clickpath.plans import attribution
+    # user 1: first touch direct/none/none, converts on s_a/brand/none: content 'none' = 'none' -> not a full switch
+    sessions = [(1, ts("2024-01-01 00:00:00"), 1, 0, None, None, None, "desktop", None),
+                (2, ts("2024-01-02 00:00:00"), 1, 1, "s_a", "brand", None, "desktop", None)]
+    orders = [(10, ts("2024-01-02 00:00:00"), 2, 1, 1, 1, 10.0, 4.0)]
+    f = Funnel(tables(spark, sessions, orders=orders))
+    assert attribution.full_switch(f).count() == 0
+    assert attribution.paths(f).count() == 1
