@@ -16,18 +16,21 @@ from clickpath.spec import ORDER_SINGLE, ORDER_TWO
 def pairs(f: Funnel) -> DataFrame:
     """Primary product × cross-sell product: times bought together, % of the primary's orders.
 
-    Each non-primary item meets its order's primary item(s): the output grows
-    with the number of items, not with pairs inside an order.
+    Counted as coded: every (primary item, cross-sell item) pair of an order.
     """
-    items = f["order_items"].select("order_id", "product_id", "is_primary_item")
-    primary = items.filter(F.col("is_primary_item") == 1).select(
-        "order_id", F.col("product_id").alias("Primary_Product_ID"))
-    cross = items.filter(F.col("is_primary_item") == 0).select(
-        "order_id", F.col("product_id").alias("CrossSell_Product_ID"))
+    # One pass over the items: rows per (order, product, primary flag). Both sides of the pair
+    # join are read from this aggregate (one exchange, reused), and an order contributes
+    # (primary products x cross-sell products) rows, not (items x items).
+    per = (f["order_items"].groupBy("order_id", "product_id", "is_primary_item")
+           .agg(F.count(F.lit(1)).alias("n")))
+    primary = per.filter(F.col("is_primary_item") == 1).select(
+        "order_id", F.col("product_id").alias("Primary_Product_ID"), F.col("n").alias("n1"))
+    cross = per.filter(F.col("is_primary_item") == 0).select(
+        "order_id", F.col("product_id").alias("CrossSell_Product_ID"), F.col("n").alias("n2"))
     together = (primary.join(cross, "order_id")
                 .groupBy("Primary_Product_ID", "CrossSell_Product_ID")
-                .agg(F.count(F.lit(1)).alias("Times_Bought_Together")))
-    primary_orders = primary.groupBy("Primary_Product_ID").agg(F.count(F.lit(1)).alias("primary_items"))
+                .agg(F.sum(F.col("n1") * F.col("n2")).alias("Times_Bought_Together")))
+    primary_orders = primary.groupBy("Primary_Product_ID").agg(F.sum("n1").alias("primary_items"))
     names = f["products"].select("product_id", "product_name")
     p1 = names.select(F.col("product_id").alias("Primary_Product_ID"), F.col("product_name").alias("Primary_Product"))
     p2 = names.select(F.col("product_id").alias("CrossSell_Product_ID"),

@@ -258,6 +258,15 @@ def journey(orders: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
 # C. basket
 # ---------------------------------------------------------------------------
 
+def line_id(df: DataFrame):
+    """Deterministic row id of a Parquet scan: ``<file path>#<row index>``."""
+    try:
+        df.select("_metadata.row_index", "_metadata.file_path").schema  # analysed, not executed
+        return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+    except Exception:  # noqa: BLE001 - not a file source: no _metadata column
+        return F.monotonically_increasing_id().cast("string")
+
+
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -266,14 +275,15 @@ def basket(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
            spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     """Order lines as order items; the product is the part type.
 
-    Line ids: lineitem has no key (even all columns together may repeat), so
-    each line gets ``monotonically_increasing_id()`` at the scan. It is unique,
-    needs no shuffle, and is recomputed identically for the same input split
-    after an executor loss; no result exposes its value. A window numbering
-    would put every copy of a repeated line into one task.
+    Line ids: lineitem has no key (even all columns together may repeat), so a
+    line is identified by where it is stored: Parquet file path and row index
+    (``_metadata``). That id is unique, deterministic (it survives recomputation
+    after an executor loss and lets Spark reuse exchanges and push filters),
+    and needs no shuffle; no result exposes its value. A window numbering would
+    put every copy of a repeated line into one task. Inputs that are not a
+    file scan fall back to ``monotonically_increasing_id()``.
     """
-    lines = (lineitem.select(*_LINE_ORDER, "l_orderkey")
-             .withColumn("order_item_id", F.monotonically_increasing_id())
+    lines = (lineitem.select(*_LINE_ORDER, "l_orderkey", line_id(lineitem).alias("order_item_id"))
              .join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type")), "l_partkey"))
     per_order = (lines.groupBy("l_orderkey")
                  .agg(F.count(F.lit(1)).cast("int").alias("n_lines"),
