@@ -49,16 +49,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     where the setting is absent, get a fresh folder under the system temp dir.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
+        sc = None
     if conf_dir:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     local_dir = tempfile.mkdtemp(prefix="clickpath-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
-    spark.sparkContext.setCheckpointDir(local_dir)
+    if sc is not None:
+        sc.setCheckpointDir(local_dir)
     return local_dir
 
 
