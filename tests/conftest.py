@@ -24,6 +24,10 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.driver.memory", "4g")
+         .config("spark.sql.ui.retainedExecutions", "20")
+         .config("spark.ui.retainedJobs", "50")
+         .config("spark.ui.retainedStages", "50")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
