@@ -79,6 +79,19 @@ def step_gap_device_billing(f: Funnel) -> DataFrame:
                         "device_type", "Billing_Conv_Pct")
 
 
+@analysis("m_step_gap", "A")
+def step_gap(f: Funnel) -> DataFrame:
+    """Both published step gaps in one table: cart rate per product page and billing-step
+    rate per device, each with its gap to the best segment in percentage points."""
+    cart = step_gap_product_cart(f).select(
+        F.lit("product_page").alias("dimension"), F.col("Page_Name").alias("segment"), F.lit("cart").alias("step"),
+        F.col("Cart_Conv_Pct").alias("Rate_Pct"), "Gap_To_Best_pp")
+    billing = step_gap_device_billing(f).select(
+        F.lit("device").alias("dimension"), F.col("device_type").alias("segment"), F.lit("billing").alias("step"),
+        F.col("Billing_Conv_Pct").alias("Rate_Pct"), "Gap_To_Best_pp")
+    return cart.unionByName(billing)
+
+
 @analysis("m_share_shift", "A", also=("B",))
 def share_shift(f: Funnel) -> DataFrame:
     """Per channel: share of converters introduced vs share closed, and the shift."""

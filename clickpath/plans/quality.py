@@ -330,3 +330,18 @@ def cleaning_summary(f: Funnel) -> DataFrame:
             F.lit(len(clean.columns)).cast("bigint").alias("cols_after"),
             F.lit(", ".join(added) or "none").alias("added_columns")))
     return dq.union_all(frames)
+
+
+@analysis("dq_load_counts", "A", also=("C",))
+def load_counts_check(f: Funnel) -> DataFrame:
+    """Write the six tables (Parquet, a fresh folder under ``spark.checkpoint.dir``), read them
+    back and compare row counts: (table, expected, actual, status)."""
+    import uuid
+
+    from clickpath.session import ensure_checkpoint_dir
+    from clickpath.sources.ingest import load_counts, write_tables
+    spark = f["sessions"].sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickpath-load-{uuid.uuid4().hex}"
+    tables = {t: f[t] for t in TABLES}
+    write_tables(tables, path)
+    return load_counts(spark, tables, path)
