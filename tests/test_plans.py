@@ -28,3 +28,14 @@ def test_top2_is_limited_before_the_shuffle(spark):
     from clickpath.sources.adapters import fixture_tables
     plan = _plan(fixture_tables(spark, SF_SMALL, "A")["order_items"])
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_session_and_user_picks_combine_map_side(spark):
+    """First/last picks are aggregates with a partial (map-side) phase below the shuffle."""
+    from clickpath.plans.context import Funnel
+    from clickpath.sources.adapters import fixture_tables
+    f = Funnel(fixture_tables(spark, SF_SMALL, "A"))
+    for df in (f.flags, f.attribution):
+        plan = _plan(df)
+        assert "partial_min" in plan, plan[:500]
+        assert "Window" not in plan.split("Exchange")[0] or "WindowGroupLimit" in plan
