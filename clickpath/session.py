@@ -10,15 +10,21 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "clickpath") -> SparkSession:
-    """Return the active session, or build a local one for tests and benches.
+    """Return the active session, the spark-submit session, or a local one for tests and benches.
 
-    On a cluster the session already exists (spark-submit builds it) and this
-    function only returns it; the settings below apply to local runs.
+    Under spark-submit the master and settings come from the submission (see
+    :data:`SCALE_CONF`); the settings below apply to local runs only.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
+    if master is None and os.environ.get("PYSPARK_GATEWAY_PORT"):
+        # launched by spark-submit (the JVM started this Python process): the cluster's
+        # master and settings apply as given
+        spark = SparkSession.builder.appName(app_name).getOrCreate()
+        ensure_checkpoint_dir(spark)
+        return spark
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
