@@ -39,3 +39,7 @@ def test_session_and_user_picks_combine_map_side(spark):
         plan = _plan(df)
         assert "partial_min" in plan, plan[:500]
         assert "Window" not in plan.split("Exchange")[0] or "WindowGroupLimit" in plan
+
+
+def test_basket_refund_filter_reaches_scan(spark):
+    assert "EqualTo(l_returnflag,R)" in _plan(entry.queries()["q01_3_refund_rate_c"](spark, SF_SMALL))
