@@ -82,3 +82,22 @@ class Funnel:
             back = spark.read.parquet(f"{path.rstrip('/')}/{name}")
             out.__dict__[name] = back.drop("session_month") if name == "flags" else back
         return out
+
+    def materialize_tables(self, prefix: str = "clickpath", buckets: int = 64,
+                           database: str | None = None) -> "Funnel":
+        """Write the views as catalog tables bucketed (and sorted) by their join key.
+
+        Session-grain tables are bucketed by ``website_session_id`` and the
+        attribution table by ``user_id``, all with the same bucket count, so a
+        join between two session-grain tables reads matching buckets with no
+        shuffle at all. Pick ``buckets`` so one bucket file is ~128-512 MB.
+        """
+        spark = self.tables["sessions"].sparkSession
+        out = Funnel(self.tables, self.spec, self.touch)
+        keys = {"flags": "website_session_id", "session_funnel": "website_session_id", "attribution": "user_id"}
+        for name, key in keys.items():
+            table = f"{database + '.' if database else ''}{prefix}_{name}"
+            (getattr(self, name).write.mode("overwrite").format("parquet")
+             .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+            out.__dict__[name] = spark.table(table)
+        return out

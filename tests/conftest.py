@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -25,6 +26,7 @@ def spark():
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.driver.memory", "4g")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="clickpath-warehouse-"))
          .config("spark.sql.ui.retainedExecutions", "20")
          .config("spark.ui.retainedJobs", "50")
          .config("spark.ui.retainedStages", "50")

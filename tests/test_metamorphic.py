@@ -34,3 +34,17 @@ def test_materialized_views_give_same_reports(spark, scratch):
     m = f.materialize(scratch + "/views")
     for fn in (landing.landing_funnel, landing.before_after, nonconverters.checkout_drop):
         assert spark_rows(fn(f)) == spark_rows(fn(m))
+
+
+def test_bucketed_views_join_without_shuffle(spark):
+    from clickpath.plans import landing
+    f = Funnel(fixture_tables(spark, SF_SMALL, "A"))
+    b = f.materialize_tables(prefix="t_bucketed", buckets=4)
+    joined = b.flags.join(b.session_funnel.select("website_session_id", "session_revenue"), "website_session_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert spark_rows(landing.landing_funnel(f)) == spark_rows(landing.landing_funnel(b))
