@@ -72,4 +72,26 @@ def active_period(df: DataFrame, key: str, ts: str = "created_at") -> DataFrame:
     )
 
 
-__all__ = ["funnel_rates", "revenue_per", "share_of_total", "active_period", "MONEY"]
+__all__ = ["funnel_rates", "revenue_per", "share_of_total", "active_period", "rate_by", "last_event", "MONEY"]
+
+
+def rate_by(df: DataFrame, keys, hit, total_name: str, hits_name: str, pct_name: str,
+            total=None, hit_value=None) -> DataFrame:
+    """Per group: rows (or non-NULL ``total``), rows where ``hit`` holds (counting non-NULL
+    ``hit_value``, default ``total``), and the hit %."""
+    keys = list(keys)
+    t = F.count(total) if total is not None else F.count(F.lit(1))
+    hit_val = hit_value if hit_value is not None else (total if total is not None else F.lit(1))
+    g = df.groupBy(*keys).agg(t.alias(total_name), F.count(F.when(hit, hit_val)).alias(hits_name))
+    return g.select(*keys, total_name, hits_name, pct(hits_name, total_name).alias(pct_name))
+
+
+def last_event(events: DataFrame, key: str, ts: str = "created_at", keep=()) -> DataFrame:
+    """Rows at the latest ``ts`` of each ``key``, ties kept (an equality join against the maximum).
+
+    The maximum is an aggregate joined back on (key, time): a key owning a
+    large share of the rows is combined map-side, and the join key includes the
+    time, so it spreads across tasks.
+    """
+    latest = events.groupBy(key).agg(F.max(ts).alias(ts))
+    return events.select(key, ts, *keep).join(latest, [key, ts])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import MONEY, day_diff, exact_mean, money_per_unit, pct
-from clickpath.operators.funnel import share_of_total
+from clickpath.operators.funnel import rate_by, share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 
@@ -148,12 +148,9 @@ def journeys(f: Funnel) -> DataFrame:
 @analysis("q06_11_channel_conv_rate", "A", also=B, order=('-First_Touch_Conv_Rate_Pct',))
 def channel_conv_rate(f: Funnel) -> DataFrame:
     """First-touch channel: users, converters, conversion %."""
-    g = f.attribution.groupBy("first_touch_traffic_channel").agg(
-        F.count("first_touch_traffic_channel").alias("All_Users"),
-        F.count(F.when(F.col("last_touch_website_session_id").isNotNull(),
-                       F.col("first_touch_traffic_channel"))).alias("Converting_Users"))
-    return g.select("first_touch_traffic_channel", "All_Users", "Converting_Users",
-                    pct("Converting_Users", "All_Users").alias("First_Touch_Conv_Rate_Pct"))
+    return rate_by(f.attribution, ["first_touch_traffic_channel"],
+                   F.col("last_touch_website_session_id").isNotNull(), "All_Users", "Converting_Users",
+                   "First_Touch_Conv_Rate_Pct", total=F.col("first_touch_traffic_channel"))
 
 
 @analysis("q06_12_lifetime_revenue", "A", also=B, order=('-Total_Revenue',))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import MONEY, money_per_unit, month_of, pct, year_of
-from clickpath.operators.funnel import active_period, funnel_rates, revenue_per, share_of_total
+from clickpath.operators.funnel import active_period, funnel_rates, rate_by, revenue_per, share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 from clickpath.spec import PERIOD_AFTER, PERIOD_BEFORE
@@ -92,11 +92,8 @@ def landing_trend(f: Funnel) -> DataFrame:
 @analysis("q04_8_landing_bounce", "A", order=('-Bounce_Rate_Pct',))
 def landing_bounce(f: Funnel) -> DataFrame:
     """Per landing page: sessions that never reached the product listing, and their %."""
-    g = f.landing.groupBy("Landing_Page").agg(
-        F.count(F.lit(1)).alias("Sessions"),
-        F.count(F.when(F.col("saw_product") == 0, F.col("website_session_id"))).alias("Bounced_Sessions"))
-    return g.select("Landing_Page", "Sessions", "Bounced_Sessions",
-                    pct("Bounced_Sessions", "Sessions").alias("Bounce_Rate_Pct"))
+    return rate_by(f.landing, ["Landing_Page"], F.col("saw_product") == 0,
+                   "Sessions", "Bounced_Sessions", "Bounce_Rate_Pct", hit_value=F.col("website_session_id"))
 
 
 @analysis("q04_9_landing_device", "A", order=('Landing_Page', 'device_type'))

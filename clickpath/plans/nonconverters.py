@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import avg_2dp_decimal, day_diff, pct
-from clickpath.operators.funnel import share_of_total
+from clickpath.operators.funnel import last_event, rate_by, share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 
@@ -44,11 +44,9 @@ def non_converters(f: Funnel) -> DataFrame:
 
 
 def _non_conversion_by(f: Funnel, key: str) -> DataFrame:
-    ch = F.col("first_touch_traffic_channel")
-    g = f.attribution.groupBy(key).agg(F.count(ch).alias("All_Users"),
-                                       F.count(F.when(_not_converted(), ch)).alias("Non_Converting_Users"))
-    return g.select(key, "All_Users", "Non_Converting_Users",
-                    pct("Non_Converting_Users", "All_Users").alias("Non_Conversion_Rate_Pct"))
+    # users are counted by their (non-NULL) first-touch channel, as coded
+    return rate_by(f.attribution, [key], _not_converted(), "All_Users", "Non_Converting_Users",
+                   "Non_Conversion_Rate_Pct", total=F.col("first_touch_traffic_channel"))
 
 
 @analysis("q07_2_by_channel", "A", also=("B",), order=('-Non_Converting_Users',))
@@ -97,12 +95,10 @@ def last_page(f: Funnel) -> DataFrame:
     its latest time, is counted under each. Maxima are aggregates joined back
     on (key, time), so a heavy user or session is never one task.
     """
-    pv = f["pageviews"].select("website_session_id", "created_at", "page_name")
-    pv_last = pv.groupBy("website_session_id").agg(F.max("created_at").alias("created_at"))
-    last_page_name = pv.join(pv_last, ["website_session_id", "created_at"]).select("website_session_id", "page_name")
-    s = f["sessions"].select("user_id", "website_session_id", "created_at")
-    s_last = s.groupBy("user_id").agg(F.max("created_at").alias("created_at"))
-    last_session = s.join(s_last, ["user_id", "created_at"]).select("user_id", "website_session_id")
+    last_page_name = last_event(f["pageviews"], "website_session_id", keep=("page_name",)).select(
+        "website_session_id", "page_name")
+    last_session = last_event(f["sessions"], "user_id", keep=("website_session_id",)).select(
+        "user_id", "website_session_id")
     rows = (_non_converters(f).select("user_id")
             .join(last_session, "user_id", "left")
             .join(last_page_name, "website_session_id", "left"))
