@@ -72,3 +72,24 @@ def test_foregone_revenue_hand_computed(spark):
     assert (r.Landing_Page, r.Revenue, r.Months_Active, r.Period_Months) == ("Lander-5", Decimal("100.00"), 2, 3)
     assert (r.Monthly_Revenue, r.Full_Period_Revenue, r.Foregone_Revenue) == \
         (Decimal("50.00"), Decimal("150.00"), Decimal("50.00"))
+
+
+def test_device_gap_hand_computed(spark):
+    # desktop: 10 reach shipping, 8 billing (80 %), 4 buy (50 % after billing);
+    # mobile: 10 reach shipping, 6 billing (60 %), 3 buy (50 %). AOV 50.00, one month of data.
+    # mobile: 10 x 20 pp x 50 % x 50.00 x 0.5 x 12 / 1 = 300.00 a year.
+    sessions, pv, orders = [], [], []
+    n = 0
+    for dev, base, bill, buy in (("desktop", 0, 8, 4), ("mobile", 100, 6, 3)):
+        for i in range(10):
+            sid = base + i
+            sessions.append(_s(sid, sid, dev))
+            pv.append((n, ts(T0), sid, "/shipping")); n += 1
+            if i < bill:
+                pv.append((n, ts("2024-01-05 10:01:00"), sid, "/billing")); n += 1
+            if i < buy:
+                pv.append((n, ts("2024-01-05 10:02:00"), sid, "/thank-you-for-your-order")); n += 1
+                orders.append((sid, ts(T0), sid, sid, 1, 1, 50.0, 20.0))
+    got = {r.device_type: r for r in derived.device_gap(Funnel(tables(spark, sessions, pv, orders))).collect()}
+    assert got["mobile"].Gap_pp == 20.0 and got["mobile"].Annual_Estimate == Decimal("300.00")
+    assert got["desktop"].Annual_Estimate == Decimal("0.00") and got["mobile"].Period_Months == 1

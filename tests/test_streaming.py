@@ -20,3 +20,36 @@ def test_stream_matches_batch(spark, scratch):
     batch = Funnel(t).flags.select(cols)
     assert out.count() > 0.8 * batch.count()
     assert out.select(cols).exceptAll(batch).count() == 0
+
+
+def test_late_pageview_within_lateness_is_merged(spark, scratch):
+    import datetime as dt
+    src = os.path.join(scratch, "late_src")
+    schema = "website_pageview_id long, created_at timestamp_ntz, website_session_id long, pageview_url string"
+    t = dt.datetime.fromisoformat
+    batches = [
+        [(1, t("2024-01-05 10:00:00"), 1, "/home"), (2, t("2024-01-05 10:05:00"), 1, "/products"),
+         (3, t("2024-01-05 12:00:00"), 2, "/lander-1")],
+        [(4, t("2024-01-05 10:02:00"), 1, "/cart")],                       # late, within 3 hours
+        [(5, t("2024-01-06 12:00:00"), 3, "/home")],                       # moves the watermark on
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+    # one folder per batch -> read them as one source directory with one file per trigger
+    flat = os.path.join(scratch, "late_flat")
+    os.makedirs(flat)
+    for i in range(len(batches)):
+        part = [p for p in os.listdir(os.path.join(src, f"b{i}")) if p.endswith(".parquet")][0]
+        os.replace(os.path.join(src, f"b{i}", part), os.path.join(flat, f"part-{i}.parquet"))
+    from clickpath.streaming import read_pageview_stream, session_flags_stream
+    flags = session_flags_stream(read_pageview_stream(spark, flat, max_files_per_trigger=1),
+                                 gap="30 minutes", lateness="3 hours")
+    q = (flags.writeStream.format("parquet").outputMode("append")
+         .option("path", os.path.join(scratch, "late_sink"))
+         .option("checkpointLocation", os.path.join(scratch, "late_ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    out = {r.website_session_id: r for r in spark.read.parquet(os.path.join(scratch, "late_sink")).collect()}
+    assert out[1].saw_cart == 1 and out[1].saw_product == 1 and out[1].Landing_Page == "Home"
+    assert out[2].Landing_Page == "Lander-1"
+    assert 3 not in out   # still open at the end of the input
