@@ -201,6 +201,8 @@ def gross_profit(f: Funnel) -> DataFrame:
 def _counts(col: str, table: str):
     def run(f: Funnel) -> DataFrame:
         return dq.value_counts(f[table], col, "n")
+    run.__name__ = f"value_counts_{col}"
+    run.__doc__ = f"Rows of ``{table}`` per non-NULL ``{col}``."
     return run
 
 
