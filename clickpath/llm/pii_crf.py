@@ -409,7 +409,8 @@ def pii_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
     found = find_pii(docs, field)
     written = lambda x: F.concat_ws(",", F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["base"])
-    return found.select("doc_id", *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == F.lit(kind))).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
                         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
