@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpath.llm.store import stored
+from clickpath.llm.store import release, stored
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = stored(spark, large, "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = stored(spark, small.where("u != v").distinct(), "edges")
+        done, edges = edges, stored(spark, small.where("u != v").distinct(), "edges")
+        release(done, large)

@@ -14,10 +14,10 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.llm.repeats import Units, answers, contexts, covered, runs_of, with_cover
+from clickpath.llm.repeats import Units, covered, runs_of, with_cover
 from clickpath.llm.store import keyed
 from clickpath.llm.textops import NOT_SPACE, U64, binary_array, flat, gram_hashes, span_hashes, split, words
 
@@ -107,13 +107,10 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     of the text; rows equal in both get the same result. An empty table gives
     no rows; other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
     base = keyed(docs)
-    found = contexts(spark, base, UNITS)
     later = ((F.col("first_id") < F.col("id")) | ((F.col("first_id") == F.col("id")) & (F.col("first_hash") < F.col("text_hash")))
              | ((F.col("first_id") == F.col("id")) & (F.col("first_hash") == F.col("text_hash")) & (F.col("first_start") < F.col("start") + F.col("w0"))))
-    cover = covered(found, answers(found, solver(LENGTH)), later, LENGTH)
-    return with_cover(base, cover)
+    return with_cover(base, covered(base, UNITS, solver(LENGTH), later))
 
 
 def dedup_words(docs: DataFrame) -> DataFrame:

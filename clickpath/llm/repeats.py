@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpath.llm.store import stored
+from clickpath.llm.store import release, stored
 from clickpath.llm.textops import U64, flat, merged, mix, sliding_min, split
 
 #: Runs longer than this are cut; they occur where one gram repeats all along.
@@ -175,8 +175,8 @@ def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
     of the context, ``text_hash`` keeps apart texts that share an id.
     """
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = (_recurring(_packs(docs.select("id", "text"), units, shards), shards)
-            .groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")))
+    lists = stored(spark, _recurring(_packs(docs.select("id", "text"), units, shards), shards), "recurring")
+    some = lists.groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
     # texts that share an id share the anchors too: more candidates, no other results
     joined = docs.select("id", "text", F.xxhash64("text").alias("text_hash")).join(some, "id")
 
@@ -198,18 +198,23 @@ def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ctx, own.take(rows), hashes.take(rows), pa.array(start)], ["anchor", "ctx", "id", "text_hash", "start"])
 
     made = joined.mapInArrow(run, "anchor long, ctx binary, id long, text_hash long, start long")
-    return stored(spark, made.select("anchor", "ctx", F.xxhash64("ctx", "anchor").alias("h"), "id", "text_hash", "start"), "contexts")
+    out = stored(spark, made.select("anchor", "ctx", F.xxhash64("ctx", "anchor").alias("h"), "id", "text_hash", "start"), "contexts")
+    release(lists)
+    return out
 
 
-def answers(found: DataFrame, solve: Callable, block: int = BLOCK) -> DataFrame:
+def answers(found: DataFrame, solve: Callable, within: bool, block: int = BLOCK) -> DataFrame:
     """``(anchor, h, w0, w1, first_id, first_hash, first_start)``: for windows ``w0 .. w1 - 1`` of a context where they occur first.
 
     ``solve`` gets distinct contexts of whole anchors with the place where
-    each occurs first, and gives rows of ``(row, w0, w1, first row, window
-    there)``. Copies are merged by Spark's partial aggregation, so a context
-    of a third of all texts reaches a solver once.
+    each occurs first, and gives rows of ``(row, w0, w1, id, text hash,
+    start)``. Copies are merged by Spark's partial aggregation before they are
+    shuffled, so a context of a third of all texts reaches a solver once.
     """
-    one = found.groupBy("anchor", "h", "ctx").agg(F.min(F.struct("id", "text_hash", "start")).alias("at")).select("anchor", "h", "ctx", "at.*")
+    place = F.min(F.struct("id", "text_hash", "start")).alias("at") if within else F.struct(F.min("id").alias("id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).cast("long").alias("start")).alias("at")
+    one = found.groupBy("anchor", "ctx").agg(place).select("anchor", "ctx", "at.*")
+    one_stored = stored(found.sparkSession, one, "distinct")
+    one = one_stored.withColumn("h", F.xxhash64("ctx", "anchor"))
 
     def emit(rows: pa.Table) -> pa.RecordBatch:
         ctx = rows.column("ctx").combine_chunks() if isinstance(rows.column("ctx"), pa.ChunkedArray) else rows.column("ctx")
@@ -246,14 +251,22 @@ def answers(found: DataFrame, solve: Callable, block: int = BLOCK) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held).combine_chunks())
 
-    return one.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, h long, w0 long, w1 long, first_id long, first_hash long, first_start long")
+    made = one.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, h long, w0 long, w1 long, first_id long, first_hash long, first_start long")
+    out = stored(found.sparkSession, made, "answers")
+    release(one_stored)
+    return out
 
 
-def covered(found: DataFrame, answer: DataFrame, later, length: int) -> DataFrame:
+def covered(docs: DataFrame, units: Units, solve: Callable, later) -> DataFrame:
     """``(id, text_hash, starts, ends)``: the runs of units inside windows that ``later`` holds for, a condition on occurrences and answers."""
+    spark, length = docs.sparkSession, units.length
+    found = contexts(spark, docs, units)
+    answer = answers(found, solve, units.within)
     hits = (found.select("anchor", "h", "id", "text_hash", "start").join(answer, ["anchor", "h"]).where(later)
             .select("id", "text_hash", (F.col("start") + F.col("w0")).alias("s"), (F.col("start") + F.col("w1") + (length - 1)).alias("e")))
-    return hits.groupBy("id", "text_hash").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    out = stored(spark, hits.groupBy("id", "text_hash").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")), "covered")
+    release(found, answer)
+    return out
 
 
 def with_cover(docs: DataFrame, cover: DataFrame) -> DataFrame:

@@ -27,16 +27,36 @@ def ship(spark: SparkSession) -> None:
         sc._clickpath_shipped = True
 
 
+#: Spark removes a query's shuffle files at its end if this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     The written table outlives lost executors; every reader starts from it
-    instead of recomputing what lies above.
+    instead of recomputing what lies above, so the shuffle files of the write
+    are not needed again and go at its end.
     """
     ship(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clickpath-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,10 +16,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.llm.repeats import Units, answers, contexts, covered, runs_of, with_cover
+from clickpath.llm.repeats import Units, covered, runs_of, with_cover
 from clickpath.llm.store import keyed
 from clickpath.llm.textops import U64, binary_array, flat, gram_hashes, mix
 
@@ -142,12 +142,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     rows; other columns are ignored. Runs are null where there are none, and
     may overlap; see :func:`repeats.runs_of`.
     """
-    spark: SparkSession = docs.sparkSession
     base = keyed(docs)
-    found = contexts(spark, base, UNITS)
     later = F.col("first_id") < F.col("id")
-    cover = covered(found, answers(found, solver(LENGTH)), later, LENGTH)
-    return with_cover(base, cover)
+    return with_cover(base, covered(base, UNITS, solver(LENGTH), later))
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
