@@ -134,14 +134,10 @@ def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
 
 
 def _recurring(packs: DataFrame, shards: int) -> DataFrame:
-    """``(id, anchors)`` of anchors that occur twice or more, as packed arrays."""
+    """``(id, anchor)`` of anchors that occur twice or more."""
 
     def out(a, d):
-        order = np.argsort(d, kind="stable")
-        a, d = a[order], d[order]
-        cuts = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
-        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(a.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), lists], ["id", "anchors"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.view(np.int64))], ["id", "anchor"])
 
     def run(batches):
         held = []
@@ -165,18 +161,18 @@ def _recurring(packs: DataFrame, shards: int) -> DataFrame:
             if real.any():
                 yield out(a[real], d[real])
 
-    return packs.repartition(shards, "shard").mapInArrow(run, "id long, anchors array<long>")
+    return packs.repartition(shards, "shard").mapInArrow(run, "id long, anchor long")
 
 
 def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
-    """``(anchor, ctx, h, id, text_hash, start)`` of all runs whose anchor occurs twice in ``docs (id, text)``, stored.
+    """``(anchor, ctx, id, text_hash, start)`` of all runs whose anchor occurs twice in ``docs (id, text)``, stored.
 
-    Of equal contexts of one text there is a row each; ``h`` is a 64-bit hash
-    of the context, ``text_hash`` keeps apart texts that share an id.
+    Of equal contexts of one text there is a row each; ``text_hash`` keeps
+    apart texts that share an id.
     """
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = stored(spark, _recurring(_packs(docs.select("id", "text"), units, shards), shards), "recurring")
-    some = lists.groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    some = lists.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     # texts that share an id share the anchors too: more candidates, no other results
     joined = docs.select("id", "text", F.xxhash64("text").alias("text_hash")).join(some, "id")
 
@@ -198,7 +194,7 @@ def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ctx, own.take(rows), hashes.take(rows), pa.array(start)], ["anchor", "ctx", "id", "text_hash", "start"])
 
     made = joined.mapInArrow(run, "anchor long, ctx binary, id long, text_hash long, start long")
-    out = stored(spark, made.select("anchor", "ctx", F.xxhash64("ctx", "anchor").alias("h"), "id", "text_hash", "start"), "contexts")
+    out = stored(spark, made, "contexts")
     release(lists)
     return out
 
@@ -262,7 +258,7 @@ def covered(docs: DataFrame, units: Units, solve: Callable, later) -> DataFrame:
     spark, length = docs.sparkSession, units.length
     found = contexts(spark, docs, units)
     answer = answers(found, solve, units.within)
-    hits = (found.select("anchor", "h", "id", "text_hash", "start").join(answer, ["anchor", "h"]).where(later)
+    hits = (found.select("anchor", F.xxhash64("ctx", "anchor").alias("h"), "id", "text_hash", "start").join(answer, ["anchor", "h"]).where(later)
             .select("id", "text_hash", (F.col("start") + F.col("w0")).alias("s"), (F.col("start") + F.col("w1") + (length - 1)).alias("e")))
     out = stored(spark, hits.groupBy("id", "text_hash").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends")), "covered")
     release(found, answer)
