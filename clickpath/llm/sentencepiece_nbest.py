@@ -121,9 +121,10 @@ class Pieces:
         """The ``n`` best segmentations as ``(score, ids)``, best first."""
         edges = self.edges(chunk)
         best = self.forward(edges)
-        agenda, made, out = [(-best[-1], 0, len(chunk), 0.0, None)], 0, []
+        # of equal scores the one nearest to the start goes first, so ties do not make the agenda grow with all of them
+        agenda, made, out = [(-best[-1], len(chunk), 0, 0.0, None)], 0, []
         while agenda and len(out) < n:
-            cost, _, pos, g, path = heapq.heappop(agenda)
+            cost, pos, _, g, path = heapq.heappop(agenda)
             if pos == 0:
                 ids = []
                 while path:
@@ -133,7 +134,7 @@ class Pieces:
                 continue
             for i, k, s in edges[pos]:
                 made += 1
-                heapq.heappush(agenda, (-(best[i] + s + g), made, i, s + g, (k, chunk[i:pos], path)))
+                heapq.heappush(agenda, (-(best[i] + s + g), i, made, s + g, (k, chunk[i:pos], path)))
         return out
 
     def spelled(self, k: int, text: str) -> list[int]:
