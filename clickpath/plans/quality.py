@@ -286,15 +286,14 @@ def refund_cap(f: Funnel) -> DataFrame:
 
 @analysis("dq_product_domain", "A")
 def product_domain(f: Funnel) -> DataFrame:
-    """Product rows, expected ids missing, ids outside the expected set."""
+    """The product ids of the order items against the expected set: found, missing, unexpected, and whether the sets are equal."""
     expected = [pid for pid, _ in PRODUCT_NAMES]
-    p = f["products"]
-    return p.agg(F.count(F.lit(1)).alias("row_count"),
-                 F.count_distinct(F.when(F.col("product_id").isin(*expected), F.col("product_id"))).alias("found"),
-                 F.count_if(~F.coalesce(F.col("product_id").isin(*expected), F.lit(False))).alias("unexpected_ids")
-                 ).select("row_count", F.lit(len(expected)).cast("bigint").alias("expected_rows"),
-                          (F.lit(len(expected)) - F.col("found")).cast("bigint").alias("missing_ids"),
-                          "unexpected_ids")
+    known = F.coalesce(F.col("product_id").isin(*expected), F.lit(False))
+    ids = f["order_items"].groupBy("product_id").agg(F.lit(1).alias("one"))
+    g = ids.agg(F.count(F.lit(1)).alias("found_ids"), F.count_if(known).alias("known_ids"), F.count_if(~known).alias("unexpected_ids"))
+    missing = F.lit(len(expected)) - F.col("known_ids")
+    return g.select("found_ids", F.lit(len(expected)).cast("bigint").alias("expected_ids"), missing.cast("bigint").alias("missing_ids"),
+                    "unexpected_ids", ((missing == 0) & (F.col("unexpected_ids") == 0)).alias("same_set"))
 
 
 @analysis("eda_product_months_active", "A")

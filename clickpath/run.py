@@ -30,11 +30,16 @@ def report_keys() -> list[str]:
     return sorted(k for k in REGISTRY if not (k[-2:] in ("_a", "_b", "_c") and k[:-2] in REGISTRY))
 
 
-def run_reports(tables: dict, keys=None, spec: FunnelSpec = DEFAULT_SPEC) -> dict[str, DataFrame]:
-    """Lazy report DataFrames over ``tables`` (six cleaned tables, plus optional ``raw_*``)."""
+def run_reports(tables: dict, keys=None, spec: FunnelSpec = DEFAULT_SPEC, views: str | None = None) -> dict[str, DataFrame]:
+    """Lazy report DataFrames over ``tables`` (six cleaned tables, plus optional ``raw_*``).
+
+    With ``views``, a folder, the shared views are written there once and every report reads them.
+    """
     if not any(k.startswith("raw_") for k in tables):
         tables = {**tables, **{f"raw_{k}": v for k, v in tables.items()}}
     funnel = Funnel(tables, spec)
+    if views:
+        funnel = funnel.materialize(views)
     return {k: ordered(k, REGISTRY[k][1](funnel)) for k in (keys or report_keys())}
 
 
@@ -55,14 +60,18 @@ def main(argv=None) -> None:
     src.add_argument("--parquet", help="folder with the six tables as Parquet sub-folders")
     ap.add_argument("--out", required=True, help="output folder, one sub-folder per report")
     ap.add_argument("--key", action="append", help="report key (repeatable); default: every report")
+    ap.add_argument("--views", help="folder to store the shared views in, once, before the reports run")
+    ap.add_argument("--input-bytes", type=int, help="size of the input; sets the settings for large inputs")
     ap.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     ap.add_argument("--case-insensitive", action="store_true", help="fold URL / UTM text case at ingest")
     args = ap.parse_args(argv)
 
-    from clickpath.session import get_spark
+    from clickpath.session import configure_for_scale, get_spark
     spark = get_spark()
+    if args.input_bytes:
+        configure_for_scale(spark, args.input_bytes)
     tables = load_tables(spark, args.csv, args.parquet, args.case_insensitive)
-    for key, df in run_reports(tables, args.key).items():
+    for key, df in run_reports(tables, args.key, views=args.views).items():
         w = df.write.mode("overwrite").format(args.format)
         if args.format == "csv":
             w = w.option("header", True)

@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="clickpath-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     if sc is not None:
@@ -90,15 +92,15 @@ SCALE_CONF = {
 
 
 def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024 ** 2,
-                           minimum: int = 200, maximum: int = 200_000) -> int:
+                           minimum: int = 200) -> int:
     """Initial shuffle partitions for ``input_bytes`` of input: about ``target_bytes`` each.
 
     Adaptive execution then coalesces small partitions and splits skewed ones;
     the initial number only has to be large enough that no partition spills
-    badly before AQE sees the real sizes (100 TB -> about 400k, capped).
+    badly before AQE sees the real sizes (100 TB -> about 400k).
     """
     n = -(-int(input_bytes) // int(target_bytes))
-    return max(minimum, min(maximum, n))
+    return max(minimum, n)
 
 
 def configure_for_scale(spark: SparkSession, input_bytes: int) -> dict:

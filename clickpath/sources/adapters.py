@@ -36,7 +36,8 @@ from clickpath.spec import DEFAULT_SPEC, PRODUCT_NAMES, FunnelSpec
 # clickpath.oracle.fixtures states the same values).
 # ---------------------------------------------------------------------------
 EVENTS_EPOCH = "2024-01-01"          # day 0 of the events table
-SESSION_DAY_FACTOR = 1000            # session id = user_id * 1000 + day
+SESSION_DAY_FACTOR = 4194304         # session id = user_id * 2**22 + day + 2**20: one id per (user, day) for
+SESSION_DAY_OFFSET = 1048576         # every date that a timestamp can hold
 ORDER_VALUE_THRESHOLD = 150          # a purchase event at least this large makes an order
 REFUND_MODULUS = 7                   # items with k % 7 = 0 are refunded
 REFUND_DELAY_DAYS = 5
@@ -72,16 +73,9 @@ def _finish(tables: dict) -> dict:
 # A. clickstream
 # ---------------------------------------------------------------------------
 
-_FLAT_K = r'^\{\s*"k"\s*:\s*(-?[0-9]+)\s*\}$'
-
-
 def props_k(col: str = "props"):
-    """Integer ``k`` of the JSON ``props``. A flat ``{"k": <int>}`` object (the common shape) is
-    read with one regex, which gives exactly the JSON value; anything else goes through the
-    full JSON parser."""
-    c = F.col(col)
-    return F.when(c.rlike(_FLAT_K), F.regexp_extract(c, _FLAT_K, 1).cast("int")).otherwise(
-        F.from_json(c, "k INT").getField("k"))
+    """Integer ``k`` of the JSON ``props``; NULL where it is missing or no integer."""
+    return F.from_json(F.col(col), "k INT").getField("k")
 
 
 def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
@@ -91,8 +85,8 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
         props_k().alias("k"),
     ).withColumn(
         "sid",
-        F.col("user_id") * SESSION_DAY_FACTOR
-        + F.datediff(F.to_date("ts"), F.lit(EVENTS_EPOCH).cast("date")),
+        F.col("user_id").cast("bigint") * SESSION_DAY_FACTOR
+        + F.datediff(F.to_date("ts"), F.lit(EVENTS_EPOCH).cast("date")) + SESSION_DAY_OFFSET,
     )
 
     # First event of each session: an aggregate, combined map-side.
@@ -107,7 +101,7 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     # Keyed by struct(user): struct equality is null-safe (NULL users form one user, as in SQL
     # GROUP BY), and unlike <=> it still lets the optimizer remove the join when it is unused.
     user_first = first.groupBy(F.struct("first_user").alias("uf_user")).agg(F.min("sid").alias("user_first_sid"))
-    day = F.col("sid") - F.col("first_user") * SESSION_DAY_FACTOR
+    day = F.col("sid") - F.col("first_user") * SESSION_DAY_FACTOR - SESSION_DAY_OFFSET
     k = F.col("first_k")
     source = F.when(k < 50, "s_a").when(k < 70, "s_b").when(k < 80, "s_c")
     sessions = (
@@ -148,13 +142,15 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
         url.alias("pageview_url"),
     )
 
-    # Order items: the two largest purchases of each session whose largest is >= threshold.
-    by_value = Window.partitionBy("sid").orderBy(F.col("value").desc(), F.col("event_id"))
-    top = (ev.filter(F.col("event_type") == "purchase")
-           .withColumn("item_rank", F.row_number().over(by_value))
-           .filter(F.col("item_rank") <= 2)
-           .withColumn("session_max", F.max("value").over(Window.partitionBy("sid")))
-           .filter(F.col("session_max") >= ORDER_VALUE_THRESHOLD)
+    # Order items: all purchases of each session whose largest is >= threshold; the largest is the primary
+    # one. It is an aggregate joined back, so a hot session is combined map-side and can be split.
+    purchases = ev.filter(F.col("event_type") == "purchase")
+    largest = (purchases.groupBy(F.col("sid").alias("largest_sid"))
+               .agg(F.min(F.struct(F.isnull("value").alias("unknown"), (-F.col("value")).alias("minus"), "event_id")).alias("p"))
+               .filter(-F.col("p.minus") >= ORDER_VALUE_THRESHOLD)
+               .select("largest_sid", F.col("p.event_id").alias("primary_event_id")))
+    top = (purchases.join(largest, F.col("sid") == F.col("largest_sid"))
+           .withColumn("item_rank", F.when(F.col("event_id") == F.col("primary_event_id"), 1).otherwise(2))
            .withColumn("price_usd", F.col("value").cast(MONEY))
            .withColumn("cogs_usd", F.expr("round(price_usd * (0.30 + 0.02 * (k % 4)), 2)").cast(MONEY))
            .withColumn("product_id", (F.col("k") % 4 + 1).cast("int")))
@@ -260,11 +256,8 @@ def journey(orders: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
 
 def line_id(df: DataFrame):
     """Deterministic row id of a Parquet scan: ``<file path>#<row index>``."""
-    try:
-        df.select("_metadata.row_index", "_metadata.file_path").schema  # analysed, not executed
-        return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
-    except Exception:  # noqa: BLE001 - not a file source: no _metadata column
-        return F.monotonically_increasing_id().cast("string")
+    df.select("_metadata.row_index", "_metadata.file_path").schema  # analysed, not executed: fails unless files are read
+    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
 
 
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -336,20 +329,10 @@ FIXTURES = {
 }
 
 
-_PLANS: dict = {}
-
-
 def fixture_tables(spark: SparkSession, sf_dir: str, fixture: str = "A",
                    spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     """The six funnel tables of one fixture over the driver data in ``sf_dir``.
 
-    The returned DataFrames are lazy plans; they are built once per session,
-    folder and fixture and reused (nothing is cached: every action re-reads
-    the Parquet files).
+    The returned DataFrames are lazy plans over the files that are there now.
     """
-    key = (id(spark), sf_dir.rstrip("/"), fixture, spec)
-    hit = _PLANS.get(key)
-    if hit is None or hit[0] is not spark:
-        # the entry holds the session itself, so its id cannot be reused by another session
-        hit = _PLANS[key] = (spark, FIXTURES[fixture](spark, sf_dir, spec))
-    return dict(hit[1])
+    return dict(FIXTURES[fixture](spark, sf_dir, spec))

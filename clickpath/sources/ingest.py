@@ -57,8 +57,8 @@ def string_schema(table: str) -> T.StructType:
 
 
 def normalise_nulls(df: DataFrame, markers=NULL_MARKERS) -> DataFrame:
-    """Every listed marker (after trimming) becomes NULL, in every string column."""
-    return df.select(*[F.when(F.trim(F.col(c)).isin(*markers), F.lit(None)).otherwise(F.col(c)).alias(c)
+    """Every value that is one of the markers, blanks included, becomes NULL, in every string column."""
+    return df.select(*[F.when(F.col(c).isin(*markers), F.lit(None)).otherwise(F.col(c)).alias(c)
                        for c in df.columns])
 
 
@@ -75,7 +75,8 @@ def typed(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST")
+    # enforceSchema off: a header whose names are in another order is an error instead of swapped columns
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
            .schema(string_schema(table)).csv(path))
     return typed(normalise_nulls(raw), table)
 

@@ -18,6 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_funnel_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> dict:
-    """Load the six funnel tables written by :func:`clickpath.sources.sinks.write_tables`."""
+    """Load the six funnel tables written by :func:`clickpath.sources.ingest.write_tables`."""
     reader = spark.read.format(fmt)
     return {name: reader.load(f"{path.rstrip('/')}/{name}") for name in FUNNEL_TABLES}

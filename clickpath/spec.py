@@ -92,10 +92,8 @@ class FunnelSpec:
     known_page_names: tuple = KNOWN_PAGE_NAMES
     recency_buckets: tuple = RECENCY_BUCKETS
     recency_else: str = RECENCY_ELSE
-    # Split date of the before/after landing comparison and the product
-    # months-active end date; parameters of the analyses that use them.
+    # Split date of the before/after landing comparison.
     period_split: str = "2014-08-01"
-    dataset_end: str = "2015-03-19"
 
     @property
     def product_urls(self) -> tuple:

@@ -44,5 +44,5 @@ def test_integer_division_truncates(spark):
 def test_shuffle_partitions_sizing():
     from clickpath.session import shuffle_partitions_for
     assert shuffle_partitions_for(10 * 1024 ** 2) == 200
-    assert shuffle_partitions_for(100 * 1024 ** 4) == 200_000
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 409_600
     assert shuffle_partitions_for(10 * 1024 ** 4) == 40_960
