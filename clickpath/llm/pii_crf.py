@@ -358,7 +358,7 @@ def spans_of(column: pa.Array, field: Field) -> list[tuple[list[tuple[int, int,
     out = []
     data, offsets = flat(column)
     base = [patterns(t) for t in texts]
-    for i, j in pieces(offsets, 1 << 21):
+    for i, j in pieces(offsets, 1 << 20):
         part, bounds = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         starts, ends, sentences = tokenize(part, bounds)
         labels = np.zeros(len(starts), np.int64)

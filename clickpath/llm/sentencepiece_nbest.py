@@ -32,9 +32,9 @@ NEG = -1e30
 #: Longer chunks are searched one by one instead of in columns.
 LONG = 32
 #: Characters of texts whose chunks are searched together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Chunks whose segmentations a worker remembers.
-KEPT = 1 << 20
+KEPT = 1 << 18
 _P = U64(0x9E3779B97F4A7C15)
 
 

@@ -17,9 +17,16 @@ from clickpath.session import ensure_checkpoint_dir
 NO_ID = (1 << 63) - 1
 
 
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session, so that their Python workers can import it."""
+    """Send this package to the executors, once per session, so that their Python workers can import it.
+
+    Python workers get batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds of long texts.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not getattr(sc, "_clickpath_shipped", False):
         home = os.path.dirname(os.path.abspath(clickpath.__file__))
         made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="clickpath-zip-"), "clickpath"), "zip", os.path.dirname(home), os.path.basename(home))

@@ -72,17 +72,19 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, rate:
     kept = np.flatnonzero(seen >= min(LEAST_DOCS, len(docs)))
     place = np.full(1 << BITS, len(kept), np.int64)
     place[kept] = np.arange(len(kept))
-    feats = place[np.concatenate([b for b, *_ in docs])]
     sizes = np.concatenate([np.diff(s) for _, s, _ in docs])
-    sent = np.concatenate([[0], np.cumsum(sizes)])
     bags = np.concatenate([[0], np.cumsum([len(s) - 1 for _, s, _ in docs])])
-    sent_of = np.repeat(np.arange(len(sizes)), sizes)
     bag_of = np.repeat(np.arange(len(docs)), np.diff(bags))
-    # equal words of a sentence and features beyond the kept ones fall together: sum by (sentence, feature)
-    code, times = np.unique(np.concatenate([sent_of, sent_of]) * (len(kept) + 1) + np.concatenate([feats[:, 0], feats[:, 1]]), return_counts=True)
-    row, col = code // (len(kept) + 1), code % (len(kept) + 1)
-    real = col < len(kept)
-    row, col, times = row[real], col[real], times[real].astype(np.float64)
+    # the times of each kept feature in each sentence, document by document
+    row, col, times = [], [], []
+    for at, (both, bounds, _) in zip(bags.tolist(), docs):
+        sent_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        code, n = np.unique(np.concatenate([sent_of, sent_of]) * (len(kept) + 1) + place[np.concatenate([both[:, 0], both[:, 1]])], return_counts=True)
+        real = code % (len(kept) + 1) < len(kept)
+        row.append((at + code[real] // (len(kept) + 1)).astype(np.int32))
+        col.append((code[real] % (len(kept) + 1)).astype(np.int32))
+        times.append(n[real].astype(np.float32))
+    row, col, times = np.concatenate(row), np.concatenate(col), np.concatenate(times)
     theta = np.zeros(len(kept) + 1)
     theta[-1] = np.log(labels.mean() / max(1.0, np.diff(bags).mean()))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = bags.mapInArrow(run, "doc_id long, f binary, b binary, y int").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
-    return fit([(np.frombuffer(r["f"], np.int32).reshape(-1, 2).astype(np.int64), np.frombuffer(r["b"], np.int64), r["y"]) for r in rows])
+    return fit([(np.frombuffer(r["f"], np.int32).reshape(-1, 2), np.frombuffer(r["b"], np.int64), r["y"]) for r in rows])
 
 
 def _score(texts: pa.Array, model: Model, spans: bool):
