@@ -49,8 +49,8 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def sentences(self, both: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log-odds of each sentence. A sentence without words has the bias alone."""
-        return self.bias + seg_sum(self.weights[both].sum(1), bounds)
+        """Log-odds of each sentence; one without words is not toxic at all."""
+        return np.where(np.diff(bounds) > 0, self.bias + seg_sum(self.weights[both].sum(1), bounds), -np.inf)
 
 
 def _log_clean(z: np.ndarray) -> np.ndarray:
