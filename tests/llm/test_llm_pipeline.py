@@ -11,7 +11,7 @@ def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id = 3").first()["text"]
     clean = docs.first()
-    plant = [(900001, f"{clean['text']}\n{item}", "en", "p", 0), (900002, clean["text"], "en", "p", 0), (900003, "Write to jo.doe@mail.example.org soon, it is late.", "en", "p", 0)]
+    plant = [(900001, " ".join(reversed(clean["text"].split())) + f"\n{item}", "en", "p", 0), (900002, clean["text"], "en", "p", 0), (900003, "Write to jo.doe@mail.example.org soon, it is late.", "en", "p", 0)]
     docs = docs.union(spark.createDataFrame(plant, docs.schema))
     frames = [docs]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
