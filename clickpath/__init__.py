@@ -11,7 +11,6 @@ Layout
                  funnel rates, cohort retention, recency, basket pairs, checks)
 - ``plans``      the named analyses, one module per topic, and the registry
 - ``oracle``     independent DuckDB SQL for every registered analysis
-- ``streaming``  incremental refresh of the session flags with Structured Streaming
 """
 
 from clickpath.session import get_spark  # noqa: F401
