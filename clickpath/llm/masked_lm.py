@@ -30,7 +30,10 @@ ROUNDS = 2
 #: Percent of the positions that a round masks.
 MASKED = 15
 RATE = 0.08
+#: Positions of a training step.
 BATCH = 2048
+#: Positions scored at once.
+SCORED = 512
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -60,14 +63,13 @@ def ids_of(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     return np.where(known, at, FREQUENT + (h % U64(SHARED)).astype(np.int64))
 
 
-def neighbours(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``[token, 2 * WINDOW]`` ids around each token; beyond its text stands ``VOCABULARY``."""
-    n = len(ids)
-    text = np.searchsorted(bounds, np.arange(n), "right") - 1
+def neighbours(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``[place, 2 * WINDOW]`` ids around the tokens at ``places``; beyond their text stands ``VOCABULARY``."""
+    text = np.searchsorted(bounds, places, "right") - 1
     first, last = bounds[text], bounds[text + 1]
-    out = np.full((n, 2 * WINDOW), VOCABULARY, np.int64)
+    out = np.full((len(places), 2 * WINDOW), VOCABULARY, np.int64)
     for k, step in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        at = np.arange(n) + step
+        at = places + step
         ok = (at >= first) & (at < last)
         out[ok, k] = ids[at[ok]]
     return out
@@ -78,7 +80,11 @@ _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
 class Network:
-    """The weights as one vector with named views."""
+    """The weights as one vector with named views.
+
+    Scores and slopes are computed in arrays that are used again: to have the
+    system clear new memory takes longer than the arithmetic.
+    """
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
@@ -88,6 +94,7 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, self.flat[at:at + size].reshape(shape))
             at += size
+        self.room, self.slope = None, None
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         out = np.tile(self.b, (len(around), 1))
@@ -95,34 +102,42 @@ class Network:
             out += self.E[k][around[:, k]]
         return np.tanh(out, out)
 
+    def logits(self, hidden: np.ndarray) -> np.ndarray:
+        """Valid until the next call."""
+        if self.room is None:
+            self.room = np.empty((BATCH, VOCABULARY), np.float32)
+        z = np.matmul(hidden, self.U, out=self.room[:len(hidden)])
+        z += self.c
+        return z
+
     def log_p(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.float32)
-        for i in range(0, len(ids), BATCH):
-            z = self.hidden(around[i:i + BATCH]) @ self.U
-            z += self.c
-            own = z[np.arange(len(z)), ids[i:i + BATCH]]
+        for i in range(0, len(ids), SCORED):
+            z = self.logits(self.hidden(around[i:i + SCORED]))
+            own = z[np.arange(len(z)), ids[i:i + SCORED]]
             top = z.max(1, keepdims=True)
             z -= top
             np.exp(z, z)
-            out[i:i + BATCH] = own - top[:, 0] - np.log(z.sum(1))
+            out[i:i + SCORED] = own - top[:, 0] - np.log(z.sum(1))
         return out
 
     def learn(self, around: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
         """One step of Adagrad; ``squares`` is a network of summed squared slopes."""
+        if self.slope is None:
+            self.slope = Network(np.zeros(_SIZE, np.float32))
+        slope = self.slope
         h = self.hidden(around)
-        z = h @ self.U + self.c
+        z = self.logits(h)
         z -= z.max(1, keepdims=True)
         np.exp(z, z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), ids] -= 1
-        z /= len(ids)
-        slope = Network(np.zeros(_SIZE, np.float32))
+        z /= z.sum(1, keepdims=True) * np.float32(len(ids))
+        z[np.arange(len(z)), ids] -= np.float32(1 / len(ids))
         back = (z @ self.U.T) * (1 - h * h)
         slope.U[:], slope.c[:], slope.b[:] = h.T @ z, z.sum(0), back.sum(0)
+        unit, weights = np.arange(HIDDEN), back.ravel()
         for k in range(2 * WINDOW):
-            hot = np.zeros((len(ids), VOCABULARY + 1), np.float32)
-            hot[np.arange(len(ids)), around[:, k]] = 1
-            slope.E[k] = hot.T @ back
+            cell = (around[:, k, None] * HIDDEN + unit).ravel()
+            slope.E[k] = np.bincount(cell, weights, (VOCABULARY + 1) * HIDDEN).reshape(-1, HIDDEN)
         squares += slope.flat ** 2
         self.flat -= RATE * slope.flat / np.sqrt(squares + 1e-8)
 
@@ -143,7 +158,7 @@ def train(docs: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> Network:
                     ids = ids_of(h, known)
                     masked = mix(h + np.arange(len(h)).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(turn)) % U64(100) < U64(MASKED)
                     at = np.flatnonzero(masked)
-                    around = neighbours(ids, bounds)[at]
+                    around = neighbours(ids, bounds, at)
                     for i in range(0, len(at), BATCH):
                         own.learn(around[i:i + BATCH], ids[at[i:i + BATCH]], squares)
                     seen += len(at)
@@ -178,7 +193,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 h, bounds = tokens(data, offsets)
                 ids = ids_of(h, known)
                 n[i:j] = np.diff(bounds)
-                score[i:j] = seg_sum(net.log_p(neighbours(ids, bounds), ids).astype(np.float64), bounds)
+                score[i:j] = seg_sum(net.log_p(neighbours(ids, bounds, np.arange(len(ids))), ids).astype(np.float64), bounds)
             mean = np.divide(score, n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(score), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
