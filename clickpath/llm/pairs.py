@@ -89,13 +89,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def bucket_blocks(rows: DataFrame, solve: Callable[[Split], pa.RecordBatch], schema: str, block: int = BLOCK) -> DataFrame:
-    """Apply ``solve`` to the buckets of ``rows (bucket, node, ...)`` that hold two rows or more."""
+def bucket_blocks(rows: DataFrame, solve: Callable[[Split], pa.RecordBatch], schema: str, block: int = BLOCK, payload: DataFrame | None = None) -> DataFrame:
+    """Apply ``solve`` to the buckets of ``rows (bucket, node, ...)`` that hold two rows or more.
+
+    ``payload (node, ...)`` has one row for each node: wide columns that rows get only after they are dealt out.
+    """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
     dealt = (rows.join(sizes, "bucket")
              .withColumn("s", F.when(F.col("_k") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")))
              .withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
              .withColumn("i", F.least("s", "_t")).withColumn("j", F.greatest("s", "_t")).drop("_t", "_k"))
+    if payload is not None:
+        dealt = dealt.join(payload, "node")
 
     def run(batches):
         for group in groups(batches, ["bucket", "i", "j"]):
