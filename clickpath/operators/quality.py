@@ -72,12 +72,18 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, check: str, t
 
 
 def key_overview(df: DataFrame, table: str, pk: str, fk: str | None) -> DataFrame:
-    """Rows, column count, distinct primary keys, distinct foreign keys (NULLs not counted)."""
-    aggs = [F.count(F.lit(1)).alias("row_count"), F.count_distinct(pk).alias("pk_distinct")]
-    aggs.append(F.count_distinct(fk).alias("fk_distinct") if fk else F.lit(None).cast("bigint").alias("fk_distinct"))
-    return df.agg(*aggs).select(F.lit(table).alias("table_name"), "row_count",
-                                F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-                                "pk_distinct", "fk_distinct")
+    """Rows, column count, distinct primary keys, distinct foreign keys (NULLs not counted).
+
+    Each key is reduced on its own, so no row is expanded for a second distinct count.
+    """
+    none = F.lit(None).cast("bigint")
+    parts = df.groupBy(pk).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(pk).alias("pk_distinct"), none.alias("fk_distinct"))
+    if fk:
+        parts = parts.union(df.select(fk).distinct().agg(none.alias("row_count"), none.alias("pk_distinct"), F.count(fk).alias("fk_distinct")))
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).select(
+        F.lit(table).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        "pk_distinct", "fk_distinct")
 
 
 def describe(df: DataFrame, table: str, cols) -> DataFrame:

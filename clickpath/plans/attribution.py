@@ -136,9 +136,9 @@ def days_to_convert(f: Funnel) -> DataFrame:
     return g.select(exact_mean("t", "n").alias("Avg_Days_To_Convert"), "Min_Days", "Max_Days")
 
 
-@analysis("q06_10b_journeys", "B")
+@analysis("q06_10b_journeys", "B", order=('-Days_To_Convert',))
 def journeys(f: Funnel) -> DataFrame:
-    """Per converter: first and converting campaign, both times and the days between (row grain, unsorted)."""
+    """Per converter: first and converting campaign, both times and the days between (row grain)."""
     return _journeys(f).select(
         "user_id", "first_touch_utm_campaign", "last_touch_utm_campaign",
         F.col("first_touch_created_at").alias("First_Touch_Timestamp"),
