@@ -5,7 +5,11 @@ network, ``softmax(U tanh(sum of E[position, neighbour] + b) + c)``. A
 document's score is the sum of the log-probabilities of all its tokens, each
 given its neighbours.
 
-The vocabulary is counted over all words of the corpus. Each training round
+The vocabulary is every word of the corpus. The network predicts a class, and
+``p(word) = p(class) p(word | class)``: the most frequent words are classes of
+their own, the others share classes, in which a word's share is its count by
+the class's. The counts stay a Spark table; tasks hold those of the more
+frequent words, and the rest are joined to the documents. Each training round
 masks a share of the positions of every document; each task walks through its
 own documents from the last round's weights, and Spark averages the tasks'
 weights by the number of positions they saw.
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.llm.store import keyed
+from clickpath.llm.store import keyed, stored
 from clickpath.llm.textops import LOWER, NOT_SPACE, U64, mix, seg_sum, span_hashes, split, words
 
-#: The most frequent words have an id of their own; the others share these many more by hash.
+#: The most frequent words have a class of their own; the others share these many more by hash.
 FREQUENT, SHARED = 192, 64
 VOCABULARY = FREQUENT + SHARED
+#: Words whose counts every task holds, at most; the counts of all others are joined.
+HELD = 1 << 16
 #: Neighbours at each side, and hidden units.
 WINDOW, HIDDEN = 2, 24
 ROUNDS = 2
@@ -43,8 +49,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     return span_hashes(data, starts, ends), bounds
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents; equal counts go by hash."""
+def counted(docs: DataFrame) -> DataFrame:
+    """``(h, n)``: how often each word occurs in all documents, stored."""
 
     def run(batches):
         for batch in batches:
@@ -52,17 +58,53 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counts = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return stored(docs.sparkSession, docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent words of ``counts (h, n)``; equal counts go by hash."""
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     return np.sort(np.array([r["h"] for r in top], np.int64).view(U64))
 
 
+def within(counts: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logs of the occurrences of each shared class, and sorted hashes of words with the logs of theirs: at most
+    ``HELD`` words, all that occur at least some power of two times."""
+    shared = counts.where(~F.col("h").isin(vocab.view(np.int64).tolist())).withColumn("power", F.length(F.bin("n")))
+    sizes = shared.groupBy(F.col("h").bitwiseAND(SHARED - 1).alias("class"), "power").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    totals, of_power = np.ones(SHARED), np.zeros(65, np.int64)
+    for c in range(SHARED):
+        totals[c] = max(1, sum(r["n"] for r in sizes if r["class"] == c))
+    for r in sizes:
+        of_power[r["power"]] += r["words"]
+    least = int(np.flatnonzero(np.append(np.cumsum(of_power[::-1])[::-1], 0) <= HELD)[0])
+    held = shared.where(F.col("power") >= least).select("h", "n").toPandas()
+    h, n = held["h"].to_numpy(np.int64).view(U64), held["n"].to_numpy(np.float64)
+    order = np.argsort(h)
+    return np.log(totals), h[order], np.log(n[order])
+
+
 def ids_of(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Classes of words."""
     at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
     known = vocab[at] == h if len(vocab) else np.zeros(len(h), bool)
     return np.where(known, at, FREQUENT + (h % U64(SHARED)).astype(np.int64))
 
 
+def shares(h: np.ndarray, ids: np.ndarray, totals: np.ndarray, held: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-shares of the tokens in their classes, and the places of those whose words are not in ``held``: there, the
+    log of the word's count is still to be added."""
+    out = np.zeros(len(h))
+    places = np.flatnonzero(ids >= FREQUENT)
+    out[places] = -totals[ids[places] - FREQUENT]
+    if not len(held):
+        return out, places
+    at = np.minimum(np.searchsorted(held, h[places]), len(held) - 1)
+    there = held[at] == h[places]
+    out[places[there]] += logs[at[there]]
+    return out, places[~there]
+
+
 def neighbours(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
     """``[place, 2 * WINDOW]`` ids around the tokens at ``places``; beyond their text stands ``VOCABULARY``."""
     text = np.searchsorted(bounds, places, "right") - 1
@@ -180,21 +222,43 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     that repeat count as often as they occur. An empty table gives no rows;
     other columns are ignored.
     """
-    texts = keyed(docs).select("doc_id", "text")
-    vocab = vocabulary(texts)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, train(texts, vocab, rounds).flat))
+    texts = keyed(docs).select("doc_id", "id", "text", F.xxhash64("text").alias("text_hash"))
+    spark = docs.sparkSession
+    counts = counted(texts.select("text"))
+    vocab = vocabulary(counts)
+    shared = spark.sparkContext.broadcast((vocab, train(texts.select("text"), vocab, rounds).flat, *within(counts, vocab)))
 
     def run(batches):
-        known, flat = shared.value
+        known, flat, *sizes = shared.value
         net = Network(flat)
         for batch in batches:
-            n, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            n, score, many = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            rest_h, rest_k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j, data, offsets in split(batch.column("text")):
                 h, bounds = tokens(data, offsets)
                 ids = ids_of(h, known)
+                share, rest = shares(h, ids, *sizes)
                 n[i:j] = np.diff(bounds)
-                score[i:j] = seg_sum(net.log_p(neighbours(ids, bounds, np.arange(len(ids))), ids).astype(np.float64), bounds)
-            mean = np.divide(score, n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(score), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                score[i:j] = seg_sum(net.log_p(neighbours(ids, bounds, np.arange(len(ids))), ids).astype(np.float64) + share, bounds)
+                if len(rest):
+                    # each word once for each text
+                    text, word = np.searchsorted(bounds, rest, "right") - 1, h[rest]
+                    order = np.lexsort((word, text))
+                    text, word = text[order], word[order]
+                    new = np.ones(len(word), bool)
+                    new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
+                    first = np.flatnonzero(new)
+                    many[i:j] = np.bincount(text[first], minlength=j - i)
+                    rest_h.append(word[first].view(np.int64))
+                    rest_k.append(np.diff(np.append(first, len(word))))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(rest_h)), pa.array(np.concatenate(rest_k))], ["h", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "text_hash")), pa.array(n), pa.array(score), rest], ["doc_id", "id", "text_hash", "n_tokens", "score", "rest"])
+
+    rows = stored(spark, texts.mapInArrow(run, "doc_id long, id long, text_hash long, n_tokens long, score double, rest array<struct<h: long, k: long>>"), "scores")
+    # rows equal in id and text have the same words
+    rest = rows.select("id", "text_hash", F.inline("rest")).groupBy("id", "text_hash", "h").agg(F.max("k").alias("k"))
+    more = rest.join(counts, "h").groupBy("id", "text_hash").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
+    score = F.col("score") + F.coalesce("more", F.lit(0.0))
+    return (rows.drop("rest").join(more, ["id", "text_hash"], "left")
+            .select("doc_id", "n_tokens", score.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_log_likelihood")))

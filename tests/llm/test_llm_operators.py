@@ -281,6 +281,36 @@ def test_masked_lm_prefers_ordered_text(spark, odd):
     assert masked_lm.pseudo_likelihood(_empty(spark)).count() == 0
 
 
+def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"w{k}" for k in range(masked_lm.FREQUENT)]
+    rows = [(k, " ".join(rng.sample(common, len(common)))) for k in range(10)]
+    of_class = {}
+    for k in range(1000):
+        of_class.setdefault(_word_class(f"rare{k}"), []).append(f"rare{k}")
+    often, once = max(of_class.values(), key=len)[:2]
+    rows += [(100, f"w1 w2 {often} w3 w4"), (101, f"w1 w2 {once} w3 w4"), (102, " ".join([often] * 6)), (None, f"{once}x"), (None, f"{once}y"), (100, f"w1 w2 {often} w3 w4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = []
+    # counts held by the tasks, and joined
+    for held in (masked_lm.HELD, 0):
+        monkeypatch.setattr(masked_lm, "HELD", held)
+        got = masked_lm.pseudo_likelihood(df).collect()
+        assert len(got) == len(rows)
+        one = {r["doc_id"]: r["log_likelihood"] for r in got}
+        # the first word stands 8 times in the corpus, the second once
+        assert one[100] - one[101] == pytest.approx(np.log(8), abs=1e-5)
+        scores.append(sorted(r["log_likelihood"] for r in got))
+    assert scores[0] == pytest.approx(scores[1], abs=1e-3)
+
+
+def _word_class(word):
+    """The class of a word beyond the frequent ones."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    h, _ = masked_lm.tokens(data, np.array([0, len(data)]))
+    return int(masked_lm.ids_of(h, np.zeros(0, np.uint64))[0])
+
+
 @pytest.fixture(scope="module")
 def model():
     return queries.tokenizer_model()
