@@ -10,9 +10,10 @@ The vocabulary is every word of the corpus. The network predicts a class, and
 their own, the others share classes, in which a word's share is its count by
 the class's. The counts stay a Spark table; tasks hold those of the more
 frequent words, and the rest are joined to the documents. Each training round
-masks a share of the positions of every document; each task walks through its
-own documents from the last round's weights, and Spark averages the tasks'
-weights by the number of positions they saw.
+masks a share of the positions of every document, and all rounds together each
+position once; each task walks through its own documents from the last round's
+weights, and Spark averages the tasks' weights by the number of positions they
+saw.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ VOCABULARY = FREQUENT + SHARED
 HELD = 1 << 16
 #: Neighbours at each side, and hidden units.
 WINDOW, HIDDEN = 2, 24
+#: Rounds; each position is masked in one of them.
 ROUNDS = 2
-#: Percent of the positions that a round masks.
-MASKED = 15
 RATE = 0.08
 #: Positions of a training step.
 BATCH = 2048
@@ -117,6 +117,12 @@ def neighbours(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.nd
     return out
 
 
+def masked(h: np.ndarray, bounds: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places of the tokens that round ``turn`` masks, by the word and its position in its text."""
+    position = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return np.flatnonzero(mix(h + position.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(rounds) == U64(turn))
+
+
 _SHAPES = {"E": (2 * WINDOW, VOCABULARY + 1, HIDDEN), "b": (HIDDEN,), "U": (HIDDEN, VOCABULARY), "c": (VOCABULARY,)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
@@ -198,8 +204,7 @@ def train(docs: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> Network:
                 for *_, data, offsets in split(batch.column("text")):
                     h, bounds = tokens(data, offsets)
                     ids = ids_of(h, known)
-                    masked = mix(h + np.arange(len(h)).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(turn)) % U64(100) < U64(MASKED)
-                    at = np.flatnonzero(masked)
+                    at = masked(h, bounds, turn, rounds)
                     around = neighbours(ids, bounds, at)
                     for i in range(0, len(at), BATCH):
                         own.learn(around[i:i + BATCH], ids[at[i:i + BATCH]], squares)

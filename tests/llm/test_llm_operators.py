@@ -304,6 +304,23 @@ def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], abs=1e-3)
 
 
+def test_masked_lm_trains_on_every_position():
+    def columns(texts):
+        data = [t.encode() for t in texts]
+        h, bounds = masked_lm.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+        return h, bounds
+
+    text = "one two three one two three four " * 50
+    h, bounds = columns([text, "other words", "", text])
+    for rounds in (1, 2, 5):
+        parts = [masked_lm.masked(h, bounds, turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(h)))
+        assert min(map(len, parts)) > len(h) / rounds / 3
+        # a text is masked alike wherever it stands
+        alone = [masked_lm.masked(*columns([text]), turn, rounds) for turn in range(rounds)]
+        assert all((p[p >= bounds[3]] - bounds[3]).tolist() == a.tolist() == p[p < bounds[1]].tolist() for p, a in zip(parts, alone))
+
+
 def _word_class(word):
     """The class of a word beyond the frequent ones."""
     data = np.frombuffer(word.encode(), np.uint8)
