@@ -83,8 +83,9 @@ def anchor_runs(h: np.ndarray, bounds: np.ndarray, units: Units):
 
 
 def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
-    """``(shard, known, payload)``: anchors with their texts' ids. Anchors that a batch holds twice are known to
-    recur: their occurrences go to any shard, one entry with id -1 tells the anchor's own shard."""
+    """``(shard, known, told, payload)``: anchors with their texts' ids. Anchors that a batch holds twice are known to
+    recur: their occurrences go to any shard; the last ``told`` anchors of a payload, which have no ids there, tell the
+    anchors' own shard."""
 
     def flush(anchors, ids):
         a, d = np.concatenate(anchors), np.concatenate(ids)
@@ -99,19 +100,22 @@ def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
         new[1:] = a[1:] != a[:-1]
         many = np.diff(np.append(np.flatnonzero(new), len(a)))
         twice = np.repeat(many > 1, many)
-        told = new & twice
-        rest_a = np.concatenate([a[~twice], a[told]])
-        rest_d = np.concatenate([d[~twice], np.full(int(told.sum()), -1, np.int64)])
-        shard = (rest_a % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        shard, rest_a, rest_d = shard[order], rest_a[order], rest_d[order]
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(s, False, rest_a[x:y].tobytes() + rest_d[x:y].tobytes()) for s, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+        once_a, once_d, told_a = a[~twice], d[~twice], a[new & twice]
+        shard, told_shard = (once_a % U64(shards)).astype(np.int64), (told_a % U64(shards)).astype(np.int64)
+        order, told_order = np.argsort(shard, kind="stable"), np.argsort(told_shard, kind="stable")
+        once_a, once_d, told_a = once_a[order], once_d[order], told_a[told_order]
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+        told_cuts = np.searchsorted(told_shard[told_order], np.arange(shards + 1)).tolist()
+        rows = []
+        for s in range(shards):
+            x, y, v, w = cuts[s], cuts[s + 1], told_cuts[s], told_cuts[s + 1]
+            if y > x or w > v:
+                rows.append((s, False, w - v, once_a[x:y].tobytes() + once_d[x:y].tobytes() + told_a[v:w].tobytes()))
         if twice.any():
             a, d = a[twice], d[twice]
             for at in range(0, len(a), 1 << 16):
-                rows.append((int(mix(a[at:at + 1] + d[at:at + 1].astype(U64))[0] % U64(shards)), True, a[at:at + (1 << 16)].tobytes() + d[at:at + (1 << 16)].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["shard", "known", "payload"])
+                rows.append((int(mix(a[at:at + 1] + d[at:at + 1].astype(U64))[0] % U64(shards)), True, 0, a[at:at + (1 << 16)].tobytes() + d[at:at + (1 << 16)].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))], ["shard", "known", "told", "payload"])
 
     def run(batches):
         anchors, ids, held = [], [], 0
@@ -130,7 +134,7 @@ def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
         if sum(map(len, anchors)):
             yield flush(anchors, ids)
 
-    return docs.mapInArrow(run, "shard int, known boolean, payload binary")
+    return docs.mapInArrow(run, "shard int, known boolean, told int, payload binary")
 
 
 def _recurring(packs: DataFrame, shards: int) -> DataFrame:
@@ -140,15 +144,16 @@ def _recurring(packs: DataFrame, shards: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.view(np.int64))], ["id", "anchor"])
 
     def run(batches):
-        held = []
+        held, known_a = [], [np.zeros(0, U64)]
         for batch in batches:
-            for known, payload in zip(batch.column("known").to_pylist(), batch.column("payload").to_pylist()):
-                n = len(payload) // 16
+            for known, told, payload in zip(*(batch.column(c).to_pylist() for c in ("known", "told", "payload"))):
+                n = (len(payload) - 8 * told) // 16
                 a, d = np.frombuffer(payload, U64, n), np.frombuffer(payload, np.int64, n, 8 * n)
                 if known:
                     yield out(a, d)
                 else:
                     held.append((a, d))
+                    known_a.append(np.frombuffer(payload, U64, told, 16 * n))
         if held:
             a, d = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             order = np.argsort(a, kind="stable")
@@ -156,8 +161,7 @@ def _recurring(packs: DataFrame, shards: int) -> DataFrame:
             new = np.ones(len(a), bool)
             new[1:] = a[1:] != a[:-1]
             many = np.diff(np.append(np.flatnonzero(new), len(a)))
-            told = np.logical_or.reduceat(d < 0, np.flatnonzero(new))
-            real = np.repeat((many > 1) | told, many) & (d >= 0)
+            real = np.repeat((many > 1) | np.isin(a[new], np.concatenate(known_a)), many)
             if real.any():
                 yield out(a[real], d[real])
 

@@ -148,6 +148,20 @@ def test_suffix_dedup_matches_brute_force(docs):
     assert got == want and sum(v[1] for v in want.values()) > 10000
 
 
+def test_dedup_negative_ids(spark):
+    # the passage meets twice in one task under positive ids; in the other tasks, once each under negative ids
+    rng = random.Random(8)
+    own = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(30))
+    passage = own()
+    rows = [(k, f"{own()} {passage} {own()}") for k in (7, 8)] + [(k, f"{own()} {passage} {own()}") for k in (-5, -1, -(1 << 63), 0)]
+    parts = spark.sparkContext.parallelize([rows[:2], *([r] for r in rows[2:])], 5).flatMap(lambda x: x)
+    df = spark.createDataFrame(parts, "doc_id long, text string")
+    for report, size in ((phrase_dedup.word_report, 30), (suffix_dedup.byte_report, len(passage))):
+        gone = {r["doc_id"]: r["n_removed"] for r in report(df).collect()}
+        assert gone[-(1 << 63)] == 0
+        assert all(size <= gone[k] <= size + 4 for k, _ in rows if k > -(1 << 63)), gone
+
+
 def test_interval_expansion_gives_common_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(60):
