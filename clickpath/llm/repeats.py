@@ -83,8 +83,8 @@ def anchor_runs(h: np.ndarray, bounds: np.ndarray, units: Units):
 
 
 def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
-    """``(shard, known, told, payload)``: anchors with their texts' ids. Anchors that a batch holds twice are known to
-    recur: their occurrences go to any shard; the last ``told`` anchors of a payload, which have no ids there, tell the
+    """``(shard, known, told, payload)`` of ``docs (key, text)``: anchors with their texts' keys. Anchors that a batch holds twice are known to
+    recur: their occurrences go to any shard; the last ``told`` anchors of a payload, which have no keys there, tell the
     anchors' own shard."""
 
     def flush(anchors, ids):
@@ -120,7 +120,7 @@ def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
     def run(batches):
         anchors, ids, held = [], [], 0
         for batch in batches:
-            own = batch.column("id").to_numpy()
+            own = batch.column("key").to_numpy()
             for i, _, data, offsets in split(batch.column("text"), 1 << 18):
                 h, bounds = units.grams(data, offsets)
                 text, _, _, a = anchor_runs(h, bounds, units)
@@ -138,10 +138,10 @@ def _packs(docs: DataFrame, units: Units, shards: int) -> DataFrame:
 
 
 def _recurring(packs: DataFrame, shards: int) -> DataFrame:
-    """``(id, anchor)`` of anchors that occur twice or more."""
+    """``(key, anchor)`` of anchors that occur twice or more."""
 
     def out(a, d):
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.view(np.int64))], ["id", "anchor"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.view(np.int64))], ["key", "anchor"])
 
     def run(batches):
         held, known_a = [], [np.zeros(0, U64)]
@@ -165,7 +165,7 @@ def _recurring(packs: DataFrame, shards: int) -> DataFrame:
             if real.any():
                 yield out(a[real], d[real])
 
-    return packs.repartition(shards, "shard").mapInArrow(run, "id long, anchor long")
+    return packs.repartition(shards, "shard").mapInArrow(run, "key long, anchor long")
 
 
 def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
@@ -175,10 +175,11 @@ def contexts(spark: SparkSession, docs: DataFrame, units: Units) -> DataFrame:
     apart texts that share an id.
     """
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = stored(spark, _recurring(_packs(docs.select("id", "text"), units, shards), shards), "recurring")
-    some = lists.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    # texts that share an id share the anchors too: more candidates, no other results
-    joined = docs.select("id", "text", F.xxhash64("text").alias("text_hash")).join(some, "id")
+    # rows equal in id and text share a key, so a key has no more anchors than one text
+    docs = docs.select("id", "text", F.xxhash64("text").alias("text_hash")).withColumn("key", F.xxhash64("id", "text_hash"))
+    lists = stored(spark, _recurring(_packs(docs.select("key", "text"), units, shards), shards), "recurring")
+    some = lists.groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    joined = docs.join(some, "key")
 
     def run(batches):
         for batch in batches:

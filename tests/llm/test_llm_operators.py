@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clickpath.llm import cap_dedup, decontaminate, graph, langid_nb, masked_lm, phrase_dedup, pii_crf, queries, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
+from clickpath.llm import cap_dedup, decontaminate, graph, langid_nb, masked_lm, phrase_dedup, pii_crf, queries, repeats, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n "), (None, "no id here at all"), (5, "x" * 30000), (6, "same text again and again " * 40), (7, "same text again and again " * 40), (7, "same text again and again " * 40)]
@@ -162,6 +162,32 @@ def test_dedup_negative_ids(spark):
         assert all(size <= gone[k] <= size + 4 for k, _ in rows if k > -(1 << 63)), gone
 
 
+def test_dedup_lists_anchors_by_text(spark, monkeypatch):
+    # pairs of texts without an id share a passage; one row stands many times
+    rng = random.Random(9)
+    own = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(30))
+    rows = [(None, f"{own()} {passage} {own()}") for passage in (own() for _ in range(12)) for _ in range(2)]
+    rows += [(7, own())] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes, kept = [], repeats.stored
+
+    def stored(spark, df, name):
+        out = kept(spark, df, name)
+        if name == "recurring":
+            sizes.extend(r["n"] for r in out.groupBy(out.columns[0]).agg(F.countDistinct("anchor").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    for report, shared in ((phrase_dedup.word_report, 12), (suffix_dedup.byte_report, 0)):
+        sizes.clear()
+        got = report(df).collect()
+        assert len(got) == len(rows)
+        assert sum(r["n_removed"] > 0 for r in got if r["doc_id"] is None) == shared
+        assert not any(r["n_removed"] for r in got if r["doc_id"] == 7)
+        # 24 texts in pairs: a text has about a twelfth of the anchors
+        assert sum(sizes) > 6 * max(sizes)
+
+
 def test_interval_expansion_gives_common_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(60):
