@@ -108,14 +108,18 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to at most ``sample`` labelled documents that are not held out; a document with several labels is toxic if one says so."""
+    """Fit to at most ``sample`` labelled documents that are not held out; a document with several labels is toxic if one says so.
+
+    Of rows that share an id, the text of the smallest hash counts.
+    """
     marked = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")))
     marked = marked.join(keyed(docs).select("doc_id").distinct(), "doc_id").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     # the smallest hashes lie below this bound, so that the task which orders them gets about twice the sample however many labels there are
     bound = (1 << 40) * (2 * sample + 1000) // max(1, marked.count())
     chosen = marked.where(F.col("_h") <= bound).orderBy("_h", "doc_id").limit(sample).drop("_h")
-    bags = keyed(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = keyed(docs).join(F.broadcast(chosen), "doc_id")
+    bags = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"), F.max("y").alias("y")).select("doc_id", "least.text", "y")
 
     def run(batches):
         for batch in batches:

@@ -285,6 +285,19 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity_mil.toxicity(docs, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_repeated_ids_count_once(spark, monkeypatch):
+    rows = [(k, f"text number {k}") for k in range(40)] + [(k, f"copy {n % 3}") for k in (1, 2, 3, 4) for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity_mil, "fit", lambda bags: fitted.append(bags))
+    for order in ("text", "doc_id"):
+        toxicity_mil.train(docs.orderBy(order), labels)
+    want = spark.range(40).withColumnRenamed("id", "doc_id").where(~toxicity_mil.held_out()).count()
+    assert len(fitted[0]) == len(fitted[1]) == want
+    assert all((a[0] == b[0]).all() and a[2] == b[2] for a, b in zip(*fitted))
+
+
 def test_language_held_out(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid_nb.train(docs)
