@@ -322,11 +322,16 @@ def _pieces(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
+#: Segmentations of a text that the queries ask for.
+N_BEST = 4
+
+
 def encode(docs: DataFrame, model: bytes, n: int = 1) -> DataFrame:
-    """``(doc_id, ids, score, n_best)`` for every row of ``docs (doc_id, text)``.
+    """``(doc_id, ids, score, n_best, round_trip)`` for every row of ``docs (doc_id, text)``.
 
     ``ids`` is the best segmentation; ``n_best`` holds the best ``n`` as
-    ``(score, ids)``, best first, fewer if there are no more. Null and empty
+    ``(score, ids)``, best first, fewer if there are no more, and is null for
+    ``n = 1``; ``round_trip`` tells whether all of them decode to the text. Null and empty
     texts have no ids and a score of 0. Characters that no piece covers are
     written as their UTF-8 bytes, and so is a ``▁`` of the text itself, so
     :func:`decode` gives back every text. Of segmentations with the same
@@ -340,16 +345,25 @@ def encode(docs: DataFrame, model: bytes, n: int = 1) -> DataFrame:
     def run(batches):
         p = _pieces(shared.value)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+
+        def lists(sizes, values):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
         for batch in batches:
             at = 0
             for texts in _groups(batch.column("text")):
                 got = _encode(p, texts, n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x, *_ in got])]).astype(np.int32)), pa.array(np.concatenate([x for x, *_ in got]).astype(np.int32)))
-                tops = pa.array([[{"score": s, "ids": x.astype(np.int32)} for s, x in t] for *_, t in got], kind) if n > 1 else pa.nulls(len(got), kind)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(got)), ids, pa.array([s for _, s, _ in got]), tops], ["doc_id", "ids", "score", "n_best"])
+                ids = lists([len(x) for x, *_ in got], pa.array(np.concatenate([x for x, *_ in got]).astype(np.int32)))
+                tops = pa.nulls(len(got), kind)
+                if n > 1:
+                    each = [x for *_, t in got for _, x in t]
+                    pairs = pa.StructArray.from_arrays([pa.array([s for *_, t in got for s, _ in t], pa.float64()), lists([len(x) for x in each], pa.array(np.concatenate(each).astype(np.int32)))], ["score", "ids"])
+                    tops = lists([len(t) for *_, t in got], pairs)
+                same = pa.array([all(p.decode(x) == r for _, x in t) for r, (*_, t) in zip((t.encode("utf-8", "surrogatepass") for t in texts), got)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(got)), ids, pa.array([s for _, s, _ in got]), tops, same], ["doc_id", "ids", "score", "n_best", "round_trip"])
                 at += len(got)
 
-    return keyed(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, score double, n_best array<struct<score:double,ids:array<int>>>")
+    return keyed(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, score double, n_best array<struct<score:double,ids:array<int>>>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -365,7 +379,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoding_report(docs: DataFrame, model: bytes, n: int = 4) -> DataFrame:
+def encoding_report(docs: DataFrame, model: bytes, n: int = N_BEST) -> DataFrame:
     """``(doc_id, n_ids, score, ids_sha256, n_best_scores, n_best_sha256, round_trip)``: digests of :func:`encode` in one pass.
 
     The digests are over the ids as little-endian 4-byte integers, for

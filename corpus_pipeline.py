@@ -40,8 +40,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, n_ids, score)``: the best segmentation of every text."""
-    return sentencepiece_nbest.encode(docs, tokenizer_model()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "score")
+    """``(doc_id, ids, n_ids, score, n_best, round_trip)``: the best segmentations of every text, and whether they decode to it."""
+    encoded = sentencepiece_nbest.encode(docs, tokenizer_model(), sentencepiece_nbest.N_BEST)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "score", "n_best", "round_trip")
 
 
 STAGES = [

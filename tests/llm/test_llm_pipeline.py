@@ -28,6 +28,16 @@ def test_stages_take_effect(spark):
     assert frames[5].where("n_ids = 0 and doc_id = 900003").count() == 0
 
 
+def test_tokenize_keeps_the_n_best(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
+    docs = docs.union(spark.createDataFrame([(900004, None, "en", "p", 0), (900005, "", "en", "p", 0)], docs.schema))
+    rows = corpus_pipeline.tokenize(spark, docs, SF).collect()
+    assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
+    assert all(r["n_best"][0]["ids"] == r["ids"] and r["n_best"][0]["score"] == r["score"] for r in rows)
+    assert sum(len(r["n_best"]) == 4 for r in rows) > 40
+    assert all(a["score"] >= b["score"] and a["ids"] != b["ids"] for r in rows for a, b in zip(r["n_best"], r["n_best"][1:]))
+
+
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and len(QUERIES) == 10
