@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpath.llm import cap_dedup, chat_format, decontaminate, langid_nb, masked_lm, phrase_dedup, pii_crf, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
+from clickpath.llm import cap_dedup, chat_format, decontaminate, langid_nb, masked_lm, merkle, phrase_dedup, pii_crf, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,15 +77,64 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_report(rows.union(spark.sql(extra)))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_embedding_near_dedup, op2_sentencepiece_n_best, op3_phrase_dedup, op4_benchmark_decontamination, op5_suffix_array_dedup,
-              op6_masked_lm_score, op7_pii, op8_toxicity, op9_language_id, op10_simhash_near_dedup, op11_chat_formatting)
+              op6_masked_lm_score, op7_pii, op8_toxicity, op9_language_id, op10_simhash_near_dedup, op11_chat_formatting, op12_merkle_manifest)
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: zlib's CRC-32 of a text, byte by byte and bit by bit; DuckDB has none of its own.
+_CRC32_SQL = """(xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda h, b: list_reduce([xor(h, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS s, source IS NOT NULL AS named, {_leaf_sql("text")} AS leaf,
+                   CASE WHEN doc_id IS NOT NULL AND {_CRC32_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS found
+            FROM documents),
+        ranked AS (SELECT *, dense_rank() OVER (ORDER BY named, s) - 1 AS t, row_number() OVER (PARTITION BY named, s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+        low(t, k, i, h, n) AS (
+            SELECT t, 0, i, leaf, count(*) OVER (PARTITION BY t) FROM ranked
+            UNION ALL
+            SELECT t, any_value(k) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY t, i // 3),
+        high(k, i, h, n) AS (
+            SELECT 0, t, h, (SELECT count(DISTINCT t) FROM ranked) FROM low WHERE n = 1
+            UNION ALL
+            SELECT any_value(k) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY i // 3),
+        low_runs AS (SELECT t, k, i // 3 AS run, list(h ORDER BY i) AS kids FROM low WHERE n > 1 GROUP BY t, k, i // 3),
+        high_runs AS (SELECT k, i // 3 AS run, list(h ORDER BY i) AS kids FROM high WHERE n > 1 GROUP BY k, i // 3),
+        climb_low(id, t, k, i, h, proof) AS (
+            SELECT id, t, 0, i, found, '' FROM ranked
+            UNION ALL
+            SELECT id, c.t, c.k + 1, i // 3, sha256(array_to_string(kids[:i % 3], '') || c.h || array_to_string(kids[i % 3 + 2:], '')),
+                   proof || array_to_string(kids[:i % 3], '') || array_to_string(kids[i % 3 + 2:], '')
+            FROM climb_low c JOIN low_runs r ON c.t = r.t AND c.k = r.k AND c.i // 3 = r.run),
+        at_subroot AS (SELECT id, t, arg_max(h, k) AS h, arg_max(proof, k) AS proof FROM climb_low GROUP BY id, t),
+        climb_high(id, k, i, h, proof) AS (
+            SELECT id, 0, t, h, proof FROM at_subroot
+            UNION ALL
+            SELECT id, c.k + 1, i // 3, sha256(array_to_string(kids[:i % 3], '') || c.h || array_to_string(kids[i % 3 + 2:], '')),
+                   proof || array_to_string(kids[:i % 3], '') || array_to_string(kids[i % 3 + 2:], '')
+            FROM climb_high c JOIN high_runs r ON c.k = r.k AND c.i // 3 = r.run),
+        at_root AS (SELECT id, arg_max(h, k) AS h, arg_max(proof, k) AS proof FROM climb_high GROUP BY id),
+        top AS (SELECT h AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, low.h AS subroot, root, sha256(proof) AS proof_sha256, at_root.h AS folded_root, at_root.h = root AS verified
+        FROM ranked JOIN low ON low.t = ranked.t AND low.n = 1 JOIN at_root USING (id), top""",
     "op11_chat_formatting": r"""
         WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                       UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
