@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpath.llm import cap_dedup, chat_format, decontaminate, langid_nb, masked_lm, merkle, phrase_dedup, pii_crf, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
+from clickpath.llm import cap_dedup, chat_format, decontaminate, langid_nb, masked_lm, merkle, phrase_dedup, pii_crf, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +81,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_embedding_near_dedup, op2_sentencepiece_n_best, op3_phrase_dedup, op4_benchmark_decontamination, op5_suffix_array_dedup,
-              op6_masked_lm_score, op7_pii, op8_toxicity, op9_language_id, op10_simhash_near_dedup, op11_chat_formatting, op12_merkle_manifest)
+              op6_masked_lm_score, op7_pii, op8_toxicity, op9_language_id, op10_simhash_near_dedup, op11_chat_formatting, op12_merkle_manifest, op13_embedding_whitening)
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -40,5 +40,5 @@ def test_tokenize_keeps_the_n_best(spark):
 
 def test_registered():
     names = entry.queries()
-    assert set(QUERIES) | {"pipeline"} <= set(names) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(names) and len(QUERIES) == 13
     assert set(ORACLE_SQL) <= set(entry.oracle_sql())
