@@ -13,10 +13,11 @@ on the session or user key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import MONEY, flag, map_values
+from clickpath.functions.packed import micros, packed_code, packed_id, packed_key
 from clickpath.spec import DEFAULT_SPEC, FunnelSpec
 
 SESSION = "website_session_id"
@@ -26,15 +27,24 @@ STEP_FLAGS = ("saw_product", "saw_cart", "saw_shipping", "saw_billing", "saw_tha
 def funnel_flags(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, key: str = SESSION,
                  ts: str = "created_at", pid: str = "website_pageview_id",
                  url: str = "pageview_url") -> DataFrame:
-    """One row per ``key``: ``session_start`` (first view time), ``landing_url``
-    (earliest view, pageview id breaks ties), ``Page_Name`` (greatest product
-    label seen) and 0/1 step flags."""
+    """One row per ``key``: ``session_start`` (first view time), ``landing_pageview_id``
+    (earliest view, pageview id breaks ties), ``Landing_Page`` (its label, NULL for a URL that
+    is no known landing page), ``Page_Name`` (greatest product label seen) and 0/1 step flags.
+
+    Labels are coded by their place in the spec and the earliest view is the minimum of one
+    packed number, so every buffer has a fixed width and the views are hash-aggregated.
+    :func:`landing_urls` fetches the landing URLs themselves, unknown ones included.
+    """
     u = F.col(url)
-    product_label = map_values(u, spec.product_pages)
-    return pageviews.groupBy(key).agg(
+    codes = len(spec.landing_pages) + 1
+    landing_code = F.coalesce(map_values(u, [(page, F.lit(k + 1)) for k, page in enumerate(spec.landing_urls)]), F.lit(0))
+    ranked = sorted(set(spec.product_labels), key=lambda label: label.encode())
+    rank = map_values(u, [(page, F.lit(ranked.index(label))) for page, label in spec.product_pages])
+    first = packed_key(micros(ts, pageviews.schema[ts].dataType), F.col(pid), landing_code, codes)
+    picked = pageviews.groupBy(key).agg(
         F.min(ts).alias("session_start"),
-        F.min_by(u, F.struct(F.col(ts), F.col(pid))).alias("landing_url"),
-        F.max(product_label).alias("Page_Name"),
+        F.min(first).alias("_first"),
+        F.max(rank).alias("_product"),
         F.max(flag(u == spec.products_url)).alias("saw_product"),
         F.max(flag(u.isin(*spec.product_urls))).alias("clicked_product"),
         F.max(flag(u == spec.cart_url)).alias("saw_cart"),
@@ -42,11 +52,23 @@ def funnel_flags(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, key: str
         F.max(flag(u.isin(*spec.billing_urls))).alias("saw_billing"),
         F.max(flag(u == spec.thank_you_url)).alias("saw_thank_you"),
     )
+    return picked.select(
+        key, "session_start", packed_id(F.col("_first"), codes).alias("landing_pageview_id"),
+        map_values(packed_code(F.col("_first"), codes), [(k + 1, label) for k, (_, label) in enumerate(spec.landing_pages)]).alias("Landing_Page"),
+        map_values("_product", list(enumerate(ranked))).alias("Page_Name"),
+        "saw_product", "clicked_product", "saw_cart", "saw_shipping", "saw_billing", "saw_thank_you",
+    )
 
 
-def with_landing_label(flags: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Add ``Landing_Page`` (label of the landing URL; NULL when the URL is not a known landing page)."""
-    return flags.withColumn("Landing_Page", map_values("landing_url", spec.landing_pages))
+def landing_urls(flags: DataFrame, pageviews: DataFrame, key: str = SESSION,
+                 pid: str = "website_pageview_id", url: str = "pageview_url") -> DataFrame:
+    """``(key, landing_url)`` of the sessions of :func:`funnel_flags`: any URL, known or not.
+
+    A late fetch by (session, pageview id), so the URLs of all other views never leave the scan's side of the join.
+    """
+    first = flags.select(F.col(key).alias("_session"), F.col("landing_pageview_id").alias("_view"))
+    same = F.col(key).eqNullSafe(F.col("_session")) & F.col(pid).eqNullSafe(F.col("_view"))
+    return pageviews.select(key, pid, F.col(url).alias("landing_url")).join(first, same).select(key, "landing_url")
 
 
 def product_page_sessions(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
@@ -62,8 +84,7 @@ def landing_sessions(pageviews: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
     """Every session with pageviews: landing label (NULL for an unknown URL) and 6 flags."""
     f = flags if flags is not None else funnel_flags(pageviews, spec)
     return f.select(
-        SESSION,
-        map_values("landing_url", spec.landing_pages).alias("Landing_Page"),
+        SESSION, "Landing_Page",
         "saw_product", "clicked_product", "saw_cart", "saw_shipping", "saw_billing", "saw_thank_you")
 
 
@@ -98,22 +119,28 @@ def user_attribution(sessions: DataFrame, orders: DataFrame, touch: str = "first
     ``touch='first_order'`` takes the session of the user's earliest order
     (the behaviour of the analysed reports); ``'last_order'`` the latest.
     Ties on time are broken by session id. Non-converters get NULL
-    ``last_touch_*`` columns. Both picks are aggregates over a struct whose
-    leading fields are the ordering, so a heavy user is combined map-side.
+    ``last_touch_*`` columns. Both picks are minima (maxima) of one packed
+    (time, session id) number, hash-aggregated and combined map-side however
+    heavy a user is; the attributes are fetched from the session afterwards.
+    The joins are on the unique session id, so no user's rows meet in one task.
     """
+    if touch not in ("first_order", "last_order"):
+        raise ValueError(f"touch must be 'first_order' or 'last_order', not {touch!r}")
     s = sessions.select(SESSION, "created_at", "user_id", *_TOUCH_ATTRS)
-    first = (s.groupBy("user_id")
-             .agg(F.min(F.struct("created_at", SESSION, *_TOUCH_ATTRS)).alias("t"))
+
+    def order_key(df: DataFrame) -> Column:
+        return packed_key(micros("created_at", df.schema["created_at"].dataType), F.col(SESSION))
+
+    picked = s.groupBy("user_id").agg(F.min(order_key(s)).alias("_key"))
+    picked = picked.select(F.col("user_id").alias("_user"), packed_id(F.col("_key")).alias("_session"))
+    first = (s.join(picked, (F.col(SESSION) == F.col("_session")) & F.col("user_id").eqNullSafe(F.col("_user")))
              .select("user_id",
-                     F.col(f"t.{SESSION}").alias("first_touch_website_session_id"),
-                     F.col("t.created_at").alias("first_touch_created_at"),
-                     *[F.col(f"t.{a}").alias(f"first_touch_{a}") for a in _TOUCH_ATTRS]))
+                     F.col(SESSION).alias("first_touch_website_session_id"),
+                     F.col("created_at").alias("first_touch_created_at"),
+                     *[F.col(a).alias(f"first_touch_{a}") for a in _TOUCH_ATTRS]))
     pick = F.min if touch == "first_order" else F.max
-    if touch not in ("first_order", "last_order"):
-        raise ValueError(f"touch must be 'first_order' or 'last_order', not {touch!r}")
-    converting = (orders.groupBy("user_id")
-                  .agg(pick(F.struct("created_at", SESSION)).alias("o"))
-                  .select(F.col(f"o.{SESSION}").alias(SESSION)))
+    converting = (orders.groupBy("user_id").agg(pick(order_key(orders)).alias("_key"))
+                  .select(packed_id(F.col("_key")).alias(SESSION)))
     last = converting.join(s, SESSION).select(
         F.col("user_id").alias("l_user_id"),
         F.col(SESSION).alias("last_touch_website_session_id"),

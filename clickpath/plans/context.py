@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 
 from clickpath.operators.views import (
     funnel_flags, landing_sessions, product_page_sessions, session_funnel, user_attribution,
-    with_landing_label,
 )
 from clickpath.spec import DEFAULT_SPEC, FunnelSpec
 
@@ -30,7 +29,7 @@ class Funnel:
     @cached_property
     def flags(self) -> DataFrame:
         """One row per session with pageviews: session_start, landing, product label, flags."""
-        return with_landing_label(funnel_flags(self.tables["pageviews"], self.spec), self.spec)
+        return funnel_flags(self.tables["pageviews"], self.spec)
 
     @cached_property
     def product_view(self) -> DataFrame:

@@ -11,22 +11,22 @@ order_item_refunds, products``:
 - ``basket`` (fixture C) from ``orders``, ``lineitem`` and ``part``: order
   lines as order items, at volume.
 
-Every mapping is a plain DataFrame plan: per-group "first row" picks are
-aggregates (``min`` of a struct, combined map-side) rather than windows, so
-a session or user holding a large share of all rows never lands whole in one
-task; the only window is a top-2 per session, which Spark limits map-side
-(``WindowGroupLimit``) before the shuffle.
+Every mapping is a plain DataFrame plan without windows: per-group "first row"
+picks are minima of one packed number, hash-aggregated and combined map-side,
+so a session or user holding a large share of all rows never lands whole in
+one task.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickpath.functions.metrics import MONEY
+from clickpath.functions.packed import DOUBLE_END, double_order, micros, packed_code, packed_id, packed_key
 from clickpath.operators.cleaning import clean_sessions, with_gross_profit, with_page_name
 from clickpath.sources.tables import read_table
 from clickpath.spec import DEFAULT_SPEC, PRODUCT_NAMES, FunnelSpec
@@ -38,6 +38,8 @@ from clickpath.spec import DEFAULT_SPEC, PRODUCT_NAMES, FunnelSpec
 EVENTS_EPOCH = "2024-01-01"          # day 0 of the events table
 SESSION_DAY_FACTOR = 4194304         # session id = user_id * 2**22 + day + 2**20: one id per (user, day) for
 SESSION_DAY_OFFSET = 1048576         # every date that a timestamp can hold
+DAY_MICROS = 86_400_000_000
+FIRST_K_CODES = 104                  # folded k of a session's first event: -11..90, shifted, and 0 for none
 ORDER_VALUE_THRESHOLD = 150          # a purchase event at least this large makes an order
 REFUND_MODULUS = 7                   # items with k % 7 = 0 are refunded
 REFUND_DELAY_DAYS = 5
@@ -89,11 +91,18 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
         + F.datediff(F.to_date("ts"), F.lit(EVENTS_EPOCH).cast("date")) + SESSION_DAY_OFFSET,
     )
 
-    # First event of each session: an aggregate, combined map-side.
+    # First event of each session: one packed minimum. All that the rules below read of the first event's k
+    # are comparisons with 50 to 90 and remainders by 2 and 3, so k beyond 0..90 is folded to a value that
+    # agrees in all of them; the folded k is carried as the code. A session is one day, so its time has room.
+    folded = (F.when(F.col("k") > 90, 90).when(F.col("k") < 0, F.col("k") % 6 - 6).otherwise(F.col("k")))
+    code = F.coalesce(folded + 13, F.lit(0))
+    clock = micros("ts", events.schema["ts"].dataType) % DAY_MICROS
     first = (ev.groupBy("sid")
-             .agg(F.min(F.struct("ts", "event_id", "k", "user_id")).alias("f"))
-             .select("sid", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event_id"),
-                     F.col("f.k").alias("first_k"), F.col("f.user_id").alias("first_user")))
+             .agg(F.min("ts").alias("first_ts"), F.max("user_id").alias("first_user"),
+                  F.min(packed_key(clock, F.col("event_id"), code, FIRST_K_CODES, most=DAY_MICROS)).alias("f"))
+             .select("sid", "first_ts", packed_id(F.col("f"), FIRST_K_CODES).alias("first_event_id"),
+                     F.nullif(packed_code(F.col("f"), FIRST_K_CODES), F.lit(0)).alias("first_code"), "first_user")
+             .select("sid", "first_ts", "first_event_id", (F.col("first_code") - 13).alias("first_k"), "first_user"))
 
     # Sessions: attributes from the first event; repeat unless it is the user's first session.
     # The user's first session comes from the session-grain table (one row per session), and the
@@ -143,12 +152,13 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
     )
 
     # Order items: all purchases of each session whose largest is >= threshold; the largest is the primary
-    # one. It is an aggregate joined back, so a hot session is combined map-side and can be split.
+    # one (the smallest event id breaks ties). It is a packed minimum joined back, so a hot session is combined
+    # map-side and can be split. Prices are decimal(18,2), so values stay far below 2^63.
     purchases = ev.filter(F.col("event_type") == "purchase")
-    largest = (purchases.groupBy(F.col("sid").alias("largest_sid"))
-               .agg(F.min(F.struct(F.isnull("value").alias("unknown"), (-F.col("value")).alias("minus"), "event_id")).alias("p"))
-               .filter(-F.col("p.minus") >= ORDER_VALUE_THRESHOLD)
-               .select("largest_sid", F.col("p.event_id").alias("primary_event_id")))
+    largest = (purchases.filter(F.col("value") >= ORDER_VALUE_THRESHOLD)
+               .groupBy(F.col("sid").alias("largest_sid"))
+               .agg(F.min(packed_key(DOUBLE_END - double_order(F.col("value")), F.col("event_id"))).alias("p"))
+               .select("largest_sid", packed_id(F.col("p")).alias("primary_event_id")))
     top = (purchases.join(largest, F.col("sid") == F.col("largest_sid"))
            .withColumn("item_rank", F.when(F.col("event_id") == F.col("primary_event_id"), 1).otherwise(2))
            .withColumn("price_usd", F.col("value").cast(MONEY))
@@ -191,8 +201,8 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
 def _journey_sessions(orders: DataFrame) -> DataFrame:
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     first = (o.groupBy(F.struct("o_custkey").alias("cust"))
-             .agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f"))
-             .select("cust", F.col("f.o_orderkey").alias("first_key")))
+             .agg(F.min(packed_key(micros("o_orderdate", o.schema["o_orderdate"].dataType), F.col("o_orderkey"))).alias("f"))
+             .select("cust", packed_id(F.col("f")).alias("first_key")))
     # struct key: null-safe, and removable by the optimizer when is_repeat_session is not read
     return o.join(first, F.struct(o["o_custkey"]) == first["cust"], "left").select(
         F.col("o_orderkey").alias("website_session_id"),

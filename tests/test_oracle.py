@@ -39,5 +39,9 @@ def test_matches_oracle(spark, con, key):
     assert s_rows == d_rows
 
 
-def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_report_has_an_oracle():
+    """Reports all have SQL; of the training-data queries those that say so."""
+    from clickpath.plans import REGISTRY
+    training, sql = entry._llm()
+    assert set(entry.queries()) == set(REGISTRY) | set(training)
+    assert set(entry.oracle_sql()) == set(REGISTRY) | set(sql) and set(sql) <= set(training)

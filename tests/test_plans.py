@@ -24,10 +24,18 @@ def test_filter_and_pruning_reach_parquet(spark):
     assert "o_totalprice" not in plan and "lineitem" not in plan
 
 
-def test_top2_is_limited_before_the_shuffle(spark):
+def test_items_are_picked_without_a_window(spark):
+    """The largest purchase of a session is a map-side minimum joined back, not a window."""
     from clickpath.sources.adapters import fixture_tables
     plan = _plan(fixture_tables(spark, SF_SMALL, "A")["order_items"])
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "Window" not in plan and "partial_min" in plan
+
+
+@pytest.mark.parametrize("key", ["q04_2_landing_funnel", "q03_1_product_funnel", "q05_8_multivariate_rank", "q06_1_introduced_all", "q06_1_introduced_all_b", "q06_4_closed_b", "q07_4_avg_sessions_b"])
+def test_views_are_hash_aggregated(spark, key):
+    """First and last picks have buffers of fixed width: no sort of all events or sessions."""
+    plan = _plan(entry.queries()[key](spark, SF_SMALL))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_session_and_user_picks_combine_map_side(spark):
