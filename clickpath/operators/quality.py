@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickpath.operators.quantiles import exact_quantiles
+
 
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -90,24 +92,22 @@ def describe(df: DataFrame, table: str, cols) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (exact, interpolated), max per money column.
 
     Sums run on exact integer cents, so mean and std do not depend on the
-    summation order; quantiles use ``percentile`` (exact), not the
-    approximate ``summary()``.
+    summation order. One scan gives the sums of all columns, one the exact
+    quantiles (:func:`clickpath.operators.quantiles.exact_quantiles`).
     """
-    frames = []
-    for c in cols:
+    moments = []
+    for k, c in enumerate(cols):
         cents = (F.col(c) * 100).cast("decimal(38,0)")
-        g = df.agg(
-            F.count(c).alias("n"), F.sum(cents).alias("s1"), F.sum(cents * cents).alias("s2"),
-            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-            F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        frames.append(g.select(
-            F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
-            F.col("n").alias("count"),
-            (F.col("s1").cast("double") / F.nullif(F.col("n"), F.lit(0)).cast("double") / 100).alias("mean"),
-            (F.sqrt((F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")
-                    / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)).cast("double")) / 100).alias("std"),
-            "min",
-            F.round(F.col("q")[0], 2).alias("p25"), F.round(F.col("q")[1], 2).alias("p50"),
-            F.round(F.col("q")[2], 2).alias("p75"),
-            "max"))
-    return union_all(frames)
+        moments += [F.count(c).alias(f"n{k}"), F.sum(cents).alias(f"s{k}"), F.sum(cents * cents).alias(f"q{k}"),
+                    F.min(c).cast("double").alias(f"lo{k}"), F.max(c).cast("double").alias(f"hi{k}")]
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{m}{k}").alias(m) for m in ("n", "s", "q", "lo", "hi")])
+                              for k, c in enumerate(cols)]))
+    sums = df.agg(*moments).select(rows)
+    at = lambda p: F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 2)
+    quantiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75)).groupBy("column_name").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
+    n = F.col("n")
+    return sums.join(quantiles, "column_name", "left").select(
+        F.lit(table).alias("table_name"), "column_name", n.alias("count"),
+        (F.col("s").cast("double") / F.nullif(n, F.lit(0)).cast("double") / 100).alias("mean"),
+        (F.sqrt((n * F.col("q") - F.col("s") * F.col("s")).cast("double") / F.nullif(n * (n - 1), F.lit(0)).cast("double")) / 100).alias("std"),
+        F.col("lo").alias("min"), "p25", "p50", "p75", F.col("hi").alias("max"))

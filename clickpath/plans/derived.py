@@ -15,6 +15,7 @@ from clickpath.functions.metrics import (
     MONEY, day_diff, money_pct, money_per_unit, month_diff, month_floor, pct,
 )
 from clickpath.operators.funnel import share_of_total
+from clickpath.operators.quantiles import exact_quantiles
 from clickpath.plans.attribution import _converted
 from clickpath.plans.context import Funnel
 from clickpath.plans.nonconverters import _non_converter_sessions, non_converter_last_visit
@@ -118,7 +119,7 @@ def channel_paths(f: Funnel) -> DataFrame:
 def median_days(f: Funnel) -> DataFrame:
     """Median calendar days from first touch to the converting session (exact, interpolated)."""
     days = _converted(f).select(day_diff("first_touch_created_at", "last_touch_created_at").alias("d"))
-    return days.agg(F.percentile(F.col("d").cast("double"), 0.5).alias("Median_Days_To_Convert"))
+    return exact_quantiles(days, ["d"], [0.5]).agg(F.max("value").alias("Median_Days_To_Convert"))
 
 
 @analysis("m_device_revenue_share", "A")
