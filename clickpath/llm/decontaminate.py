@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickpath.llm.store import keyed
+from clickpath.llm.store import keyed, ship
 from clickpath.llm.textops import LOWER, gram_hashes, merged, span_hashes, split, table, words
 
 #: Words of a window.
@@ -40,7 +40,8 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.string()))], ["n", "h", "words", "item"])
 
-    items = keyed(benchmark, "item_id").select(F.col("doc_id").cast("string").alias("item"), "text")
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return items.mapInArrow(run, "n int, h long, words binary, item string").distinct()
 
 
@@ -83,7 +84,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     their hash, and each block is broadcast and scanned for in turn, in one
     pass over the documents.
 
-    Null texts have no words; null item ids hit words but are not listed;
+    Null texts have no words; item ids may be of any type and are listed as
+    text; null item ids hit words but are not listed;
     repeated items count once. An empty table on either side gives no rows or
     no hits. Other columns are ignored.
     """
