@@ -13,12 +13,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickpath.llm.graph import components
 from clickpath.llm.pairs import Split, bucket_blocks, union
-from clickpath.llm.store import NO_ID, keyed, stored
+from clickpath.llm.store import keyed, stored
 from clickpath.llm.textops import LOWER, NOT_SPACE, binary_array, split, words
 
 BITS = 64
@@ -97,14 +97,14 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     table gives no rows; other columns are ignored.
     """
     return _grouped(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                                   F.when(F.col("component") != F.lit(NO_ID), F.col("component")).alias("component_id"))
+                                                   F.col("component").alias("component_id"))
 
 
 def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """``(doc_id, id, text_hash, fp, root, component)``: ``root`` is a fingerprint that names the group."""
+    """``(doc_id, text_hash, fp, root, component)``: ``root`` is a fingerprint that names the group, ``component`` its smallest id, null if it has none."""
     spark: SparkSession = docs.sparkSession
     prints = stored(spark, fingerprints(docs, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("id"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keep = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for k, m in enumerate(keep)]))
     rows = classes.select(F.col("fp").alias("node"), tables.alias("b")).select(F.xxhash64("b.t", "b.k").alias("bucket"), "node")
@@ -118,9 +118,9 @@ def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
     links = bucket_blocks(rows, solve, "a long, b long")
     found = components(spark, links)
-    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component"))
-    return prints.join(named.drop("id").join(least, "root"), "fp")
+    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.join(named.drop("least").join(least, "root"), "fp")
 
 
 def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -130,8 +130,13 @@ def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     stays, and of equal rows one. Rows without an id stay only if their group
     has no others.
     """
-    first = (_grouped(docs, shingle, radius).groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("_least"))
-             .select(F.col("_least.id").alias("_id"), F.col("_least.text_hash").alias("_text")).distinct())
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.xxhash64(text)}).join(first, ["_id", "_text"], "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id"))).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = (_grouped(docs, shingle, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
+             .select(F.struct("least.none", F.coalesce("least.doc_id", F.lit(0)).alias("id"), "least.text_hash").alias("first")).distinct())
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    number = F.col("doc_id").cast("long")
+    row = F.struct(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    # copies of a row are reduced to one before they are shuffled, however many there are
+    rows = docs.withColumn(key, row).dropDuplicates([key])
+    return rows.join(first, rows[key] == first["first"], "left_semi").drop(key)

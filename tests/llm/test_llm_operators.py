@@ -456,3 +456,41 @@ def test_encoding_round_trip(spark, odd, model):
     report = sentencepiece_nbest.encoding_report(odd, model)
     assert report.count() == len(ODD) and report.where("not round_trip").count() == 0
     assert sentencepiece_nbest.encode(_empty(spark), model).count() == 0
+
+
+LAST = (1 << 63) - 1
+
+
+def test_largest_id_is_an_id_and_not_a_null(spark):
+    docs = spark.createDataFrame([(LAST, "one two three four"), (None, "one two three four"), (None, "quite another text here"), (LAST, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash_cover.simhash_groups(docs.where("text is not null")).collect()}
+    assert got == {(LAST, LAST), (None, LAST), (None, None)}
+    kept = simhash_cover.simhash_keep(docs).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(str(x) for x in [(LAST, "one two three four"), (None, "quite another text here"), (LAST, None)])
+    vectors = spark.createDataFrame([(LAST, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (LAST, None)], "vec_id long, embedding array<double>")
+    rows = {(r["vec_id"], r["component_id"], r["n_links"], r["kept"]) for r in cap_dedup.near_vectors(vectors).collect()}
+    assert rows == {(LAST, LAST, 1, True), (None, LAST, 1, False), (None, None, 0, True), (LAST, LAST, 0, True)}
+
+
+def test_simhash_keep_with_clashing_columns_and_a_hot_row(spark):
+    rows = [(5, "same text for a third of all", "keep1", 5, "t", "r", True)] * 200 + [(k, f"text {k} of its own with words {k * 7}", f"keep{k}", k, "u", "r", False) for k in range(100, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _n long, _text string, row string, ROW_ boolean").repartition(7)
+    kept = simhash_cover.simhash_keep(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert set(got) <= set(rows) and got.count(rows[0]) == 1
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_with_text_ids(spark):
+    bench = spark.createDataFrame([("mmlu-1", "alpha beta gamma"), ("mmlu-10", "alpha beta gamma"), (None, "delta epsilon")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma it is"), (2, "delta epsilon"), (3, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["starts"]) for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    assert got == {1: (["mmlu-1", "mmlu-10"], [1]), 2: ([], [0]), 3: ([], [])}
+
+
+def test_vectors_in_many_passes_equal_one(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    one = sorted(tuple(r) for r in cap_dedup.near_vectors(vectors).collect())
+    monkeypatch.setattr(cap_dedup, "SENT", 1 << 20)
+    assert one == sorted(tuple(r) for r in cap_dedup.near_vectors(vectors).collect())
