@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -494,3 +496,27 @@ def test_vectors_in_many_passes_equal_one(spark, monkeypatch):
     one = sorted(tuple(r) for r in cap_dedup.near_vectors(vectors).collect())
     monkeypatch.setattr(cap_dedup, "SENT", 1 << 20)
     assert one == sorted(tuple(r) for r in cap_dedup.near_vectors(vectors).collect())
+
+
+def test_pii_places_by_plain_counting_and_long_texts():
+    field = pii_crf.train()
+    one = "é mail jo(at)x(dot)org or (415) 555-0199, card 4111-1111 1111-1111 or a.b@c.de, ip 10.0.0.7 ü. "
+    (base, every), (none, found) = pii_crf.spans_of(pa.array([one, None]), field)
+    assert none == found == [] and set(base) <= set(every) and len(every) > len(base)
+    assert base == _base(one) and all(not any(s < b and e > a for s, _, e in base) for a, k, b in every if (a, k, b) not in base)
+    many = 12000  # 1.1 MB with tens of thousands of spans
+    start = time.perf_counter()
+    (_, long), = pii_crf.spans_of(pa.array([one * many]), field)
+    assert time.perf_counter() - start < 60
+    assert len(long) == len(every) * many
+    assert long[-len(every):] == [(a + len(one) * (many - 1), k, b + len(one) * (many - 1)) for a, k, b in every]
+
+
+def test_covered_matches_comparing_with_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [(a, 0, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        asked = pii_crf._Covered(spans)
+        for a in range(60):
+            b = a + rng.randint(1, 5)
+            assert asked.meets(a, b) == any(s < b and e > a for s, _, e in spans)
