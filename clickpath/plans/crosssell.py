@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import MONEY, money_per_unit, pct
+from clickpath.operators.baskets import basket_pairs
 from clickpath.operators.funnel import share_of_total
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
@@ -18,19 +19,9 @@ def pairs(f: Funnel) -> DataFrame:
 
     Counted as coded: every (primary item, cross-sell item) pair of an order.
     """
-    # One pass over the items: rows per (order, product, primary flag). Both sides of the pair
-    # join are read from this aggregate (one exchange, reused), and an order contributes
-    # (primary products x cross-sell products) rows, not (items x items).
-    per = (f["order_items"].groupBy("order_id", "product_id", "is_primary_item")
-           .agg(F.count(F.lit(1)).alias("n")))
-    primary = per.filter(F.col("is_primary_item") == 1).select(
-        "order_id", F.col("product_id").alias("Primary_Product_ID"), F.col("n").alias("n1"))
-    cross = per.filter(F.col("is_primary_item") == 0).select(
-        "order_id", F.col("product_id").alias("CrossSell_Product_ID"), F.col("n").alias("n2"))
-    together = (primary.join(cross, "order_id")
-                .groupBy("Primary_Product_ID", "CrossSell_Product_ID")
-                .agg(F.sum(F.col("n1") * F.col("n2")).alias("Times_Bought_Together")))
-    primary_orders = primary.groupBy("Primary_Product_ID").agg(F.sum("n1").alias("primary_items"))
+    together = basket_pairs(f["order_items"]).select(
+        F.col("primary").alias("Primary_Product_ID"), F.col("further").alias("CrossSell_Product_ID"),
+        F.col("times").alias("Times_Bought_Together"), "primary_items")
     names = f["products"].select("product_id", "product_name")
     p1 = names.select(F.col("product_id").alias("Primary_Product_ID"), F.col("product_name").alias("Primary_Product"))
     p2 = names.select(F.col("product_id").alias("CrossSell_Product_ID"),
@@ -38,8 +29,7 @@ def pairs(f: Funnel) -> DataFrame:
     # A pair group is keyed by ids and names together, as coded.
     rows = (together.join(p1, "Primary_Product_ID", "left").join(p2, "CrossSell_Product_ID", "left")
             .groupBy("Primary_Product_ID", "CrossSell_Product_ID", "Primary_Product", "CrossSell_Product")
-            .agg(F.sum("Times_Bought_Together").alias("Times_Bought_Together"))
-            .join(primary_orders, "Primary_Product_ID", "left"))
+            .agg(F.sum("Times_Bought_Together").alias("Times_Bought_Together"), F.max("primary_items").alias("primary_items")))
     return rows.select("Primary_Product", "CrossSell_Product", "Times_Bought_Together",
                        pct("Times_Bought_Together", "primary_items").alias("CrossSell_Rate_Pct"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clickpath.functions.metrics import (
     MONEY, day_diff, money_pct, money_per_unit, month_diff, month_floor, pct,
 )
+from clickpath.operators.baskets import basket_pairs
 from clickpath.operators.funnel import share_of_total
 from clickpath.operators.quantiles import exact_quantiles
 from clickpath.plans.attribution import _converted
@@ -247,8 +248,7 @@ def cross_sell_sizing(f: Funnel, target_pct: float = 30.0) -> DataFrame:
     o = f["orders"].select("order_id", (F.col("items_purchased") == 2).cast("int").alias("two"))
     per = prim.join(o, "order_id").groupBy("pid").agg(F.count(F.lit(1)).alias("Primary_Orders"),
                                                       F.sum("two").alias("two"))
-    cross = items.filter(F.col("is_primary_item") == 0).select("order_id", F.col("product_id").alias("xid"))
-    pairs = prim.join(cross, "order_id").groupBy("pid", "xid").agg(F.count(F.lit(1)).alias("n"))
+    pairs = basket_pairs(items).select(F.col("primary").alias("pid"), F.col("further").alias("xid"), F.col("times").alias("n"))
     # most frequent cross-sell product per primary; ties go to the larger id
     top = pairs.groupBy("pid").agg(F.max_by("xid", F.struct("n", "xid")).alias("xid"))
     price = items.groupBy(F.col("product_id").alias("xid")).agg(

@@ -265,9 +265,10 @@ def journey(orders: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
 # ---------------------------------------------------------------------------
 
 def line_id(df: DataFrame):
-    """Deterministic row id of a Parquet scan: ``<file path>#<row index>``."""
+    """Deterministic row id of a Parquet scan, of fixed width: a 64-bit hash of the file's path, then the row's index in it."""
     df.select("_metadata.row_index", "_metadata.file_path").schema  # analysed, not executed: fails unless files are read
-    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+    file = F.xxhash64(F.col("_metadata.file_path")).cast("decimal(19,0)") + F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return (file * F.lit(1 << 40) + F.col("_metadata.row_index")).cast("decimal(38,0)")
 
 
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -279,8 +280,8 @@ def basket(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
     """Order lines as order items; the product is the part type.
 
     Line ids: lineitem has no key (even all columns together may repeat), so a
-    line is identified by where it is stored: Parquet file path and row index
-    (``_metadata``). That id is unique, deterministic (it survives recomputation
+    line is identified by where it is stored: Parquet file path (hashed) and row
+    index (``_metadata``), packed into one number, so no text id is shuffled. That id is unique, deterministic (it survives recomputation
     after an executor loss and lets Spark reuse exchanges and push filters),
     and needs no shuffle; no result exposes its value. A window numbering would
     put every copy of a repeated line into one task. Inputs that are not a
