@@ -11,7 +11,7 @@ def oracle_statements(registry: dict) -> dict[str, str]:
     out = {}
     for key, (fixture, _fn) in registry.items():
         base = key
-        if base not in Q and key[-2:] in ("_a", "_b", "_c"):
+        if base not in Q and key[-2:] in ("_a", "_b", "_c", "_d"):
             base = key[:-2]
         if base in Q:
             out[key] = with_fixture(fixture, Q[base])

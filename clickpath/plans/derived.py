@@ -166,7 +166,7 @@ def _landing_perf(f: Funnel) -> DataFrame:
         F.count(F.lit(1)).alias("Sessions"), F.sum("session_revenue").cast(MONEY).alias("Revenue"))
 
 
-@analysis("size_foregone_revenue", "A")
+@analysis("size_foregone_revenue", "A", also=("D",))
 def foregone_revenue(f: Funnel) -> DataFrame:
     """Best landing page (revenue per session): monthly revenue over its active months, projected
     over the whole period, minus what it earned. No factor: a historical calculation."""
@@ -282,7 +282,7 @@ def dim_date(f: Funnel) -> DataFrame:
         F.coalesce("sessions", F.lit(0)).cast("bigint").alias("sessions"))
 
 
-@analysis("m_monthly_growth", "B", also=("A",))
+@analysis("m_monthly_growth", "B", also=("A", "D"))
 def monthly_growth(f: Funnel) -> DataFrame:
     """Per month: sessions, orders, revenue, orders per session %, and revenue as a multiple of the
     first month's."""

@@ -19,7 +19,7 @@ def landing_share(f: Funnel) -> DataFrame:
     return share_of_total(g, "Sessions", "Traffic_Share_Pct")
 
 
-@analysis("q04_1b_landing_active_period", "A", order=('-Months_Active',))
+@analysis("q04_1b_landing_active_period", "A", also=("D",), order=('-Months_Active',))
 def landing_active_period(f: Funnel) -> DataFrame:
     """Per landing URL (any view of it): first / last year and month seen, months active."""
     pv = f["pageviews"].filter(F.col("pageview_url").isin(*f.spec.landing_urls))
@@ -81,7 +81,7 @@ def landing_product_conv(f: Funnel) -> DataFrame:
     return _product_mix(f).groupBy("Landing_Page").agg(*aggs).select("Landing_Page", *rates)
 
 
-@analysis("q04_7_landing_trend", "A", order=('Landing_Page', 'Year', 'Month'))
+@analysis("q04_7_landing_trend", "A", also=("D",), order=('Landing_Page', 'Year', 'Month'))
 def landing_trend(f: Funnel) -> DataFrame:
     """Per month of the session start × landing page: five step rates and overall rate."""
     v = f.flags.select(year_of("session_start").alias("Year"), month_of("session_start").alias("Month"),
@@ -109,7 +109,7 @@ def landing_device(f: Funnel) -> DataFrame:
                     pct("sc", "sp").alias("Cart_Conv_Pct"))
 
 
-@analysis("q04_9b_before_after", "A")
+@analysis("q04_9b_before_after", "A", also=("D",))
 def before_after(f: Funnel) -> DataFrame:
     """Sessions split at ``spec.period_split``: sessions, orders, conversion, revenue, revenue per session."""
     spec = f.spec

@@ -176,7 +176,7 @@ def page_name(f: Funnel) -> DataFrame:
     return f["pageviews"].groupBy("pageview_url", "page_name").agg(F.count(F.lit(1)).alias("views"))
 
 
-@analysis("dq_page_domain", "A", also=("B",))
+@analysis("dq_page_domain", "A", also=("B", "D"))
 def page_domain(f: Funnel) -> DataFrame:
     """Page names outside the expected set, with views (expected none)."""
     pv = f["pageviews"].filter(~F.coalesce(F.col("page_name").isin(*f.spec.known_page_names), F.lit(False)))
@@ -249,7 +249,7 @@ def _reconciliation(f: Funnel, how: str) -> DataFrame:
         F.col("item_total").cast(MONEY).alias("item_total"), "difference")
 
 
-@analysis("dq_price_reconciliation", "A", also=("C",))
+@analysis("dq_price_reconciliation", "A", also=("C", "D"))
 def price_reconciliation(f: Funnel) -> DataFrame:
     """Orders whose total differs from the sum of their items (orders with items only)."""
     return _reconciliation(f, "inner")
@@ -284,11 +284,12 @@ def refund_cap(f: Funnel) -> DataFrame:
     return g.select(cap.cast(MONEY).alias("max_item_price"), "violations")
 
 
-@analysis("dq_product_domain", "A")
+@analysis("dq_product_domain", "A", also=("C",))
 def product_domain(f: Funnel) -> DataFrame:
     """The product ids of the order items against the expected set: found, missing, unexpected, and whether the sets are equal."""
     expected = [pid for pid, _ in PRODUCT_NAMES]
-    known = F.coalesce(F.col("product_id").isin(*expected), F.lit(False))
+    # as text: a catalogue may use other keys than numbers
+    known = F.coalesce(F.col("product_id").cast("string").isin(*[str(pid) for pid in expected]), F.lit(False))
     ids = f["order_items"].groupBy("product_id").agg(F.lit(1).alias("one"))
     g = ids.agg(F.count(F.lit(1)).alias("found_ids"), F.count_if(known).alias("known_ids"), F.count_if(~known).alias("unexpected_ids"))
     missing = F.lit(len(expected)) - F.col("known_ids")

@@ -19,7 +19,7 @@ def traffic_share(f: Funnel) -> DataFrame:
     return share_of_total(g, "Sessions", "Traffic_Share_Pct")
 
 
-@analysis("q05_2_campaign_period", "A", order=('-Months_Active',))
+@analysis("q05_2_campaign_period", "A", also=("D",), order=('-Months_Active',))
 def campaign_period(f: Funnel) -> DataFrame:
     """Per campaign: first and last year seen, months between first and last session."""
     return active_period(f["sessions"], "utm_campaign").select(

@@ -1,6 +1,6 @@
 """Adapters: the driver's tables -> the six funnel tables.
 
-No funnel data ships with the analysis, so three deterministic mappings turn
+No funnel data ships with the analysis, so deterministic mappings turn
 the driver's tables into ``sessions, pageviews, orders, order_items,
 order_item_refunds, products``:
 
@@ -8,6 +8,9 @@ order_item_refunds, products``:
   pageviews are events, orders are sessions with a large purchase.
 - ``journey`` (fixture B) from TPC-H ``orders``: one session per order row,
   spread over years, so attribution, cohorts and recency are exercised.
+- ``years`` (fixture D): the clickstream with each user's events moved by up to
+  14 periods of 30 days, so that it spans the landing-page split date, and with
+  flaws that the quality checks must find.
 - ``basket`` (fixture C) from ``orders``, ``lineitem`` and ``part``: order
   lines as order items, at volume.
 
@@ -43,6 +46,10 @@ FIRST_K_CODES = 104                  # folded k of a session's first event: -11.
 ORDER_VALUE_THRESHOLD = 150          # a purchase event at least this large makes an order
 REFUND_MODULUS = 7                   # items with k % 7 = 0 are refunded
 REFUND_DELAY_DAYS = 5
+YEARS_BACK_DAYS = 3650               # years fixture: days back, then up to 14 periods of 30 days forward by user
+YEARS_PERIODS, YEARS_PERIOD_DAYS = 15, 30
+FLAW_K, FLAW_URL = 61, "/odd-page/x" # years fixture: events with this k are views of an unexpected page
+FLAW_ORDERS = 5                      # years fixture: orders with id % 5 = 0 are a cent off their items
 CONVERTING_PRIORITY = "1-URGENT"     # journey fixture: converting sessions
 PRODUCT_LAUNCHES = ("2023-03-01", "2023-06-01", "2023-09-01", "2023-12-01")
 
@@ -80,7 +87,12 @@ def props_k(col: str = "props"):
     return F.from_json(F.col(col), "k INT").getField("k")
 
 
-def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
+def years(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
+    days = F.coalesce(F.col("user_id") % YEARS_PERIODS, F.lit(0)).cast("int") * YEARS_PERIOD_DAYS - YEARS_BACK_DAYS
+    return clickstream(events.withColumn("ts", F.col("ts") + F.make_dt_interval(days)), spec, flawed=True)
+
+
+def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, flawed: bool = False) -> dict:
     spark = events.sparkSession
     ev = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
@@ -144,6 +156,8 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
         .when(ek % 2 == 0, spec.billing_urls[0])
         .otherwise(spec.billing_urls[1])
     )
+    if flawed:
+        url = F.when(ek == FLAW_K, FLAW_URL).otherwise(url)
     pageviews = pv.select(
         F.col("event_id").alias("website_pageview_id"),
         F.col("ts").alias("created_at"),
@@ -181,6 +195,8 @@ def clickstream(events: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> dict:
         F.sum("cogs_usd").cast(MONEY).alias("cogs_usd"),
     ).select("order_id", "created_at", F.col("order_id").alias("website_session_id"), "user_id",
              "primary_product_id", "items_purchased", "price_usd", "cogs_usd")
+    if flawed:
+        orders = orders.withColumn("price_usd", (F.col("price_usd") + F.when(F.col("order_id") % FLAW_ORDERS == 0, F.lit("0.01")).otherwise("0").cast(MONEY)).cast(MONEY))
     refunds = top.filter(F.col("k") % REFUND_MODULUS == 0).select(
         F.col("event_id").alias("order_item_refund_id"),
         (F.col("ts") + F.expr(f"INTERVAL {REFUND_DELAY_DAYS} DAYS")).alias("created_at"),
@@ -334,6 +350,7 @@ def basket(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
 
 FIXTURES = {
     "A": lambda spark, d, spec=DEFAULT_SPEC: clickstream(read_table(spark, d, "events"), spec),
+    "D": lambda spark, d, spec=DEFAULT_SPEC: years(read_table(spark, d, "events"), spec),
     "B": lambda spark, d, spec=DEFAULT_SPEC: journey(read_table(spark, d, "orders"), spec),
     "C": lambda spark, d, spec=DEFAULT_SPEC: basket(read_table(spark, d, "orders"), read_table(spark, d, "lineitem"),
                                                     read_table(spark, d, "part"), spec),
