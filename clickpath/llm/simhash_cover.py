@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clickpath.llm.graph import components
 from clickpath.llm.pairs import Split, bucket_blocks, union
-from clickpath.llm.store import keyed, stored
+from clickpath.llm.store import keyed, release, stored
 from clickpath.llm.textops import LOWER, NOT_SPACE, binary_array, split, words
 
 BITS = 64
@@ -92,16 +92,18 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
     Null and empty texts have fingerprint zero and link like any other. Texts
     of fewer than ``shingle`` words have one shingle. Repeated rows give
-    repeated results; a null ``doc_id`` counts as the largest id, and a group of
+    repeated results; a null ``doc_id`` names no group, and a group of
     nothing else has a null ``component_id``. An empty
     table gives no rows; other columns are ignored.
     """
-    return _grouped(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                                   F.col("component").alias("component_id"))
+    prints, named = _named(docs, shingle, radius)
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    grouped = prints.join(named.drop("least").join(least, "root"), "fp")
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """``(doc_id, text_hash, fp, root, component)``: ``root`` is a fingerprint that names the group, ``component`` its smallest id, null if it has none."""
+def _named(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``(doc_id, id, text_hash, fp)``, and for each fingerprint ``(fp, least, root)``: its smallest id, null if it has none, and the fingerprint that names its group."""
     spark: SparkSession = docs.sparkSession
     prints = stored(spark, fingerprints(docs, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -118,9 +120,9 @@ def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
     links = bucket_blocks(rows, solve, "a long, b long")
     found = components(spark, links)
+    release(rows)
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(named.drop("least").join(least, "root"), "fp")
+    return prints, named
 
 
 def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -130,7 +132,11 @@ def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     stays, and of equal rows one. Rows without an id stay only if their group
     has no others.
     """
-    first = (_grouped(docs, shingle, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
+    prints, named = _named(docs, shingle, radius)
+    # copies meet in the aggregate of their fingerprint, map-side; only fingerprints are joined
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    heads = prints.groupBy("fp").agg(F.min(order).alias("head")).join(named, "fp")
+    first = (heads.groupBy("root").agg(F.min("head").alias("least"))
              .select(F.struct("least.none", F.coalesce("least.doc_id", F.lit(0)).alias("id"), "least.text_hash").alias("first")).distinct())
     key = "row"
     while key in {c.lower() for c in docs.columns}:
