@@ -76,16 +76,19 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, check: str, t
 def key_overview(df: DataFrame, table: str, pk: str, fk: str | None) -> DataFrame:
     """Rows, column count, distinct primary keys, distinct foreign keys (NULLs not counted).
 
-    Each key is reduced on its own, so no row is expanded for a second distinct count.
+    One scan and one shuffle: every row gives its keys, each is counted map-side, and the
+    counted keys are counted again.
     """
-    none = F.lit(None).cast("bigint")
-    parts = df.groupBy(pk).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(pk).alias("pk_distinct"), none.alias("fk_distinct"))
+    types = {c: df.schema[c].dataType for c in (pk, fk) if c}
+    other = F.lit(None).cast(types[fk]) if fk else F.lit(None).cast("bigint")
+    sides = [F.struct(F.lit(0).alias("side"), F.col(pk).alias("pk"), other.alias("fk"))]
     if fk:
-        parts = parts.union(df.select(fk).distinct().agg(none.alias("row_count"), none.alias("pk_distinct"), F.count(fk).alias("fk_distinct")))
-    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).select(
+        sides.append(F.struct(F.lit(1).alias("side"), F.lit(None).cast(types[pk]).alias("pk"), F.col(fk).alias("fk")))
+    keys = df.select(F.inline(F.array(*sides))).groupBy("side", "pk", "fk").agg(F.count(F.lit(1)).alias("n"))
+    return keys.agg(F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("row_count"),
+                    F.count("pk").alias("pk_distinct"), F.count("fk").alias("fk_distinct")).select(
         F.lit(table).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        "pk_distinct", "fk_distinct")
+        "pk_distinct", ("fk_distinct" if fk else F.lit(None).cast("bigint").alias("fk_distinct")))
 
 
 def describe(df: DataFrame, table: str, cols) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,27 +143,53 @@ def export_csv(tables: dict, path: str, mode: str = "overwrite") -> dict[str, st
     return write_tables(renamed, path, fmt="csv", mode=mode)
 
 
-def save_as_tables(tables: dict, database: str | None = None, mode: str = "overwrite") -> list[str]:
-    """Catalog tables (``saveAsTable``); ``mode='append'`` for incremental loads."""
+def save_as_tables(tables: dict, database: str | None = None, mode: str = "overwrite", types: dict | None = None) -> list[str]:
+    """Catalog tables (``saveAsTable``); ``mode='append'`` for incremental loads.
+
+    ``types`` gives column types by table and column (``{"orders": {"price_usd": "decimal(10,2)"}}``)
+    in place of those of the data; a value that does not fit is an error, not a NULL.
+    """
     names = []
     for name, df in tables.items():
         full = f"{database}.{name}" if database else name
+        wanted = (types or {}).get(name, {})
+        unknown = set(wanted) - set(df.columns)
+        if unknown:
+            raise ValueError(f"{name} has no columns {sorted(unknown)}")
+        df = df.select(*[F.col(c).cast(wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
         df.write.mode(mode).saveAsTable(full)
         names.append(full)
     return names
 
 
-def load_counts(spark: SparkSession, tables: dict, path: str, fmt: str = "parquet") -> DataFrame:
+def write_counted(tables: dict, path: str, fmt: str = "parquet", mode: str = "overwrite") -> dict[str, int]:
+    """:func:`write_tables`, with the rows of each table observed by the pass that writes it.
+
+    The metric sits in the writing stage, whose tasks are committed once each, so retries do not count twice.
+    """
+    counts = {}
+    for name, df in tables.items():
+        seen = Observation(f"write {name}")
+        write_tables({name: df.observe(seen, F.count(F.lit(1)).alias("rows"))}, path, fmt, mode)
+        counts[name] = seen.get["rows"]
+    return counts
+
+
+def load_counts(spark: SparkSession, tables: dict, path: str, fmt: str = "parquet", expected: dict | None = None) -> DataFrame:
     """Row counts of each source table vs the table read back from ``path/<name>``.
 
     One DataFrame: (table_name, expected, actual, status); every count is a
-    distributed aggregate.
+    distributed aggregate. With ``expected`` (of :func:`write_counted`) the
+    sources are not counted again.
     """
     frames = []
     for name, df in tables.items():
         back = spark.read.format(fmt).load(f"{path.rstrip('/')}/{name}")
-        e = df.agg(F.count(F.lit(1)).alias("expected"))
         a = back.agg(F.count(F.lit(1)).alias("actual"))
+        if expected is not None:
+            frames.append(a.select(F.lit(name).alias("table_name"), F.lit(expected[name]).cast("bigint").alias("expected"), "actual"))
+            continue
+        e = df.agg(F.count(F.lit(1)).alias("expected"))
         frames.append(e.select(F.lit(name).alias("table_name"), "expected", a.scalar().alias("actual")))
     out = reduce(lambda x, y: x.unionByName(y), frames)
     return out.withColumn("status", F.when(F.col("expected") == F.col("actual"), "OK").otherwise("MISMATCH"))

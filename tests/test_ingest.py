@@ -2,7 +2,9 @@
 
 import os
 
-from clickpath.sources.ingest import clean_tables, export_csv, load_counts, load_csv_tables, write_tables
+import pytest
+
+from clickpath.sources.ingest import clean_tables, export_csv, load_counts, load_csv_tables, save_as_tables, write_counted, write_tables
 
 CSV = {
     "website_sessions.csv": "website_session_id,created_at,user_id,is_repeat_session,utm_source,utm_campaign,"
@@ -58,3 +60,52 @@ def test_case_folding_option(spark, scratch):
     clean = clean_tables(load_csv_tables(spark, scratch), case_insensitive=True)
     urls = {r.pageview_url for r in clean["pageviews"].collect()}
     assert "/cart" in urls
+
+
+def test_catalog_tables_with_types_and_append(spark, scratch):
+    _write(scratch)
+    raw = load_csv_tables(spark, scratch)
+    orders = {"orders": raw["orders"]}
+    spark.sql("CREATE DATABASE IF NOT EXISTS loads")
+    try:
+        types = {"orders": {"price_usd": "decimal(10,2)", "order_id": "int"}}
+        assert save_as_tables(orders, "loads", types=types) == ["loads.orders"]
+        saved = spark.table("loads.orders")
+        assert dict(saved.dtypes)["price_usd"] == "decimal(10,2)" and dict(saved.dtypes)["order_id"] == "int" and saved.count() == 1
+        save_as_tables(orders, "loads", mode="append", types=types)
+        assert spark.table("loads.orders").count() == 2
+        save_as_tables(orders, "loads")
+        assert spark.table("loads.orders").count() == 1 and dict(spark.table("loads.orders").dtypes)["order_id"] == "bigint"
+        with pytest.raises(ValueError, match="no columns"):
+            save_as_tables(orders, "loads", types={"orders": {"nope": "int"}})
+    finally:
+        spark.sql("DROP DATABASE loads CASCADE")
+
+
+def test_written_rows_are_observed(spark, scratch):
+    tables = {"a": spark.range(1000).repartition(7), "b": spark.range(0)}
+    counts = write_counted(tables, scratch)
+    assert counts == {"a": 1000, "b": 0}
+    rows = load_counts(spark, tables, scratch, expected={"a": 1000, "b": 1}).collect()
+    assert {r["table_name"]: (r["expected"], r["actual"], r["status"]) for r in rows} == {"a": (1000, 1000, "OK"), "b": (1, 0, "MISMATCH")}
+
+
+def test_load_check_leaves_no_folder(spark):
+    import __spark_entry__ as entry
+    from clickpath.session import ensure_checkpoint_dir
+    before = set(os.listdir(ensure_checkpoint_dir(spark)))
+    rows = entry.queries()["dq_load_counts"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 6 and all(r["status"] == "OK" and r["expected"] > 0 for r in rows)
+    assert {x for x in set(os.listdir(ensure_checkpoint_dir(spark))) - before if x.startswith("clickpath-load")} == set()
+
+
+def test_key_overview_scans_once(spark, scratch):
+    from clickpath.operators.quality import key_overview
+    rows = [(k, None if k % 4 == 0 else -(k % 10) * 10 ** 15, "x") for k in range(100)] * 2 + [(None, 3, "y")]
+    spark.createDataFrame(rows, "id long, fk long, v string").write.parquet(f"{scratch}/t")
+    df = spark.read.parquet(f"{scratch}/t")
+    out = key_overview(df, "t", "id", "fk")
+    assert tuple(out.first()) == ("t", 201, 3, 100, len({r[1] for r in rows if r[1] is not None}))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 2
+    assert tuple(key_overview(df, "t", "id", None).first()) == ("t", 201, 3, 100, None)
