@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clickpath.functions.metrics import MONEY, exact_mean, money_per_unit, month_diff, month_floor, pct
 from clickpath.operators import quality as dq
+from clickpath.operators.collation import collated, folded
+from clickpath.operators.views import landing_urls
 from clickpath.plans.context import Funnel
 from clickpath.plans.registry import analysis
 from clickpath.spec import PRODUCT_NAMES, UNTRACKED_LABEL
@@ -183,6 +185,24 @@ def page_domain(f: Funnel) -> DataFrame:
     return dq.value_counts(pv, "page_name", "views", dropna=False)
 
 
+@analysis("eda_page_views_collated", "A", also=("D",))
+def page_views_collated(f: Funnel) -> DataFrame:
+    """Views per URL where case and trailing blanks do not count, and whether the URL is a known one.
+
+    The URLs are read as a careless tracker writes them: upper case in views with an odd id,
+    and up to two blanks behind. Grouping, membership and the join with the sessions' landing
+    URLs all go by the column's collation.
+    """
+    urls = f.spec.landing_urls + f.spec.product_urls + f.spec.billing_urls + (f.spec.products_url, f.spec.cart_url, f.spec.shipping_url, f.spec.thank_you_url)
+    view = F.col("website_pageview_id")
+    typed = F.concat(F.when(view % 2 == 1, F.upper("pageview_url")).otherwise(F.col("pageview_url")), F.repeat(F.lit(" "), (view % 3).cast("int")))
+    pv = collated(f["pageviews"].select(typed.alias("url")), ["url"])
+    g = pv.groupBy("url").agg(F.count(F.lit(1)).alias("views"))
+    landed = landing_urls(f.flags, f["pageviews"]).groupBy("landing_url").agg(F.count(F.lit(1)).alias("landings"))
+    g = g.join(collated(landed, ["landing_url"]), F.col("url") == F.col("landing_url"), "left")
+    return g.select(folded("url").alias("url"), "views", F.col("url").isin(*urls).alias("known"), F.coalesce("landings", F.lit(0)).alias("landings"))
+
+
 @analysis("eda_page_counts", "A", also=("B",))
 def page_counts(f: Funnel) -> DataFrame:
     return dq.value_counts(f["pageviews"], "page_name", "views")
