@@ -33,3 +33,21 @@ def test_spark_submit_master_is_respected(tmp_path):
     out = subprocess.run([submit, "--master", "local[2]", "--conf", "spark.ui.enabled=false", str(script)],
                          capture_output=True, text=True, timeout=300, env=env)
     assert "MASTER=local[2]" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_missing_library_takes_only_the_training_queries(monkeypatch):
+    import builtins
+
+    import pytest
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    with pytest.warns(UserWarning, match="xxhash"):
+        names = entry.queries()
+    from clickpath.plans import REGISTRY
+    assert set(names) == set(REGISTRY)
