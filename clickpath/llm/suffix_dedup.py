@@ -24,7 +24,8 @@ from clickpath.llm.store import keyed
 from clickpath.llm.textops import U64, binary_array, flat, gram_hashes, mix
 
 LENGTH = 50
-GRAM = 16
+#: Longer grams recur by chance less often, shorter ones make fewer anchors; the result is the same.
+GRAM = 24
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +109,28 @@ UNITS = Units(LENGTH, GRAM, _grams, lambda data, offsets, first, last: binary_ar
 
 
 def solver(length: int):
-    """For :func:`repeats.answers`: the smallest id in which each window of the contexts occurs."""
+    """For :func:`repeats.answers`: the smallest id in which each window of the contexts occurs.
+
+    Where an anchor has one distinct context, no other text holds its windows
+    apart from copies of that context, so they occur first where it does; only
+    the contexts of other anchors are sorted.
+    """
 
     def solve(ctx, anchor, ids, hashes, starts):
+        # whole anchors stand together
+        new = np.ones(len(anchor) + 1, bool)
+        new[1:-1] = anchor[1:] != anchor[:-1]
+        alone = new[:-1] & new[1:]
+        single, several = np.flatnonzero(alone), np.flatnonzero(~alone)
+        size = np.diff(flat(ctx)[1])[single]
+        none = np.zeros(len(single), np.int64)
+        whole = single, none, size - (length - 1), ids[single], none, none
+        if not len(several):
+            return whole
+        row, *rest = indexed(ctx.take(pa.array(several)), ids[several])
+        return tuple(np.concatenate(x) for x in zip(whole, (several[row], *rest)))
+
+    def indexed(ctx, ids):
         text, offsets = flat(ctx)
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(len(sizes)), sizes)

@@ -150,6 +150,19 @@ def test_suffix_dedup_matches_brute_force(docs):
     assert got == want and sum(v[1] for v in want.values()) > 10000
 
 
+def test_suffix_solver_sorts_only_anchors_of_several_contexts():
+    rng = random.Random(12)
+    shared = bytes(rng.randrange(97, 123) for _ in range(70))
+    tails = [bytes(rng.randrange(97, 123) for _ in range(30)) for _ in range(4)]
+    # anchors 3 and 9 stand alone; the contexts of anchor 5 share windows
+    rows = [(3, shared, 40), (5, shared + tails[0], 30), (5, tails[1] + shared, 20), (5, tails[2] * 2, 10), (9, shared[:50], 50)]
+    got = {}
+    for row, w0, w1, least, *_ in zip(*suffix_dedup.solver(50)(pa.array([c for _, c, _ in rows], pa.binary()), *(np.array(x) for x in ([a for a, *_ in rows], [i for *_, i in rows], [0] * 5, [0] * 5)))):
+        got |= {(int(row), w): int(least) for w in range(w0, w1)}
+    want = {(r, w): min(i for a, c, i in rows if a == anchor and ctx[w:w + 50] in c) for r, (anchor, ctx, _) in enumerate(rows) for w in range(len(ctx) - 49)}
+    assert got == want
+
+
 def test_dedup_negative_ids(spark):
     # the passage meets twice in one task under positive ids; in the other tasks, once each under negative ids
     rng = random.Random(8)
