@@ -43,24 +43,29 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
         part[:max(0, n - k)] = text[k:].astype(U64) + U64(1)
         part[room <= k] = 0
         key = key * U64(257) + part
-    size = 7
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.empty(n, bool)
-        new[:1] = True
-        new[1:] = ranked[1:] != ranked[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if size >= depth or new.all():
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
-            return order, place
-        nxt = np.zeros(n, np.int64)
-        nxt[:max(0, n - size)] = rank[size:]
-        nxt[room <= size] = 0
-        key = (rank.astype(U64) << U64(32)) | nxt.astype(U64)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(n + 1, bool)  # slots that begin a group of suffixes not yet told apart
+    new[1:-1] = ranked[1:] != ranked[:-1]
+    rank, size = np.empty(n, np.int64), 7
+    while size < depth:
+        # groups of one are in their place; the others are sorted within their own slots
+        open_ = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(open_):
+            break
+        rank[order] = np.cumsum(new[:-1])
+        at = order[open_]
+        nxt = rank[np.minimum(at + size, n - 1)]
+        nxt[room[at] <= size] = 0
+        key = (rank[at].astype(U64) << U64(32)) | nxt.astype(U64)
+        by = np.argsort(key)
+        order[open_] = at[by]
+        key = key[by]
+        new[open_[1:]] |= key[1:] != key[:-1]
         size *= 2
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return order, place
 
 
 def expand(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,27 +87,32 @@ def expand(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     first = text[order]
     lcp = np.full(n, length, np.int64)
     apart = np.zeros(n, bool)  # at depth 0 all are one interval
-    # neighbours (k - 1, k) that are still together
+    # neighbours (k - 1, k) that are still together, and where they map to
     live = np.arange(1, n, dtype=np.int32)
+    before, after = back[:-1], back[1:]
     for depth in range(length):
         if depth == 0:
             split = first[1:] != first[:-1]
         else:
             interval = np.cumsum(apart, dtype=np.int32)
-            split = interval[back[live]] != interval[back[live - 1]]
+            split = interval[after] != interval[before]
             if depth == 1:
                 split |= last[live] | last[live - 1]  # a suffix of one byte goes no further
-        lcp[live[split]] = depth
-        apart[live[split]] = True
-        live = live[~split]
+        gone, stay = live[split], np.flatnonzero(~split)
+        lcp[gone] = depth
+        apart[gone] = True
+        live, before, after = live[stay], before[stay], after[stay]
         if not len(live):
             break
     lcp[:1] = 0
     return order, place, lcp
 
 
+_BYTES = mix(np.arange(1, 257).astype(U64))
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray):
-    return gram_hashes(mix(data.astype(U64) + U64(1)), GRAM), offsets
+    return gram_hashes(_BYTES[data], GRAM), offsets
 
 
 UNITS = Units(LENGTH, GRAM, _grams, lambda data, offsets, first, last: binary_array(data, first, last))

@@ -100,10 +100,18 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every ``n`` neighbours of ``h``; also across texts, which callers mask out."""
     if len(h) < n:
         return np.zeros(0, U64)
-    out = np.zeros(len(h) - n + 1, U64)
-    for j in range(n):
-        out = out * U64(_P) + h[j:len(h) - n + 1 + j]
-    return mix(out)
+    # the polynomial of a + b neighbours from those of a and of b, doubling
+    out, have = None, 0
+    power, size, factor = h, 1, _P
+    while True:
+        if n & size:
+            out = power if out is None else out[:len(out) - size] * U64(factor) + power[have:]
+            have += size
+        if have == n:
+            return mix(out)
+        power = power[:len(power) - size] * U64(factor) + power[size:]
+        factor = factor * factor % (1 << 64)
+        size *= 2
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
