@@ -1,9 +1,11 @@
 """Document scores by masked pseudo-likelihood.
 
 Every token is predicted from the tokens at both sides by a small window
-network, ``softmax(U tanh(sum of E[position, neighbour] + b) + c)``. A
-document's score is the sum of the log-probabilities of all its tokens, each
-given its neighbours.
+network with the hidden units ``h = tanh(sum of E[position, neighbour] + b)``.
+Its output is a tree of two levels: ``softmax(V h + d)`` chooses a group of
+classes, ``softmax(U[group] h + c[group])`` a class of it, so that a prediction
+computes 64 numbers instead of 1,024. A document's score is the sum
+of the log-probabilities of all its tokens, each given its neighbours.
 
 The vocabulary is every word of the corpus. The network predicts a class, and
 ``p(word) = p(class) p(word | class)``: the most frequent words are classes of
@@ -27,8 +29,11 @@ from clickpath.llm.store import keyed, stored
 from clickpath.llm.textops import LOWER, NOT_SPACE, U64, mix, seg_sum, span_hashes, split, words
 
 #: The most frequent words have a class of their own; the others share these many more by hash.
-FREQUENT, SHARED = 192, 64
+FREQUENT, SHARED = 768, 256
 VOCABULARY = FREQUENT + SHARED
+#: Classes of a group, and groups: class ``i`` is in group ``i // MEMBERS``.
+MEMBERS = 32
+GROUPS = VOCABULARY // MEMBERS
 #: Words whose counts every task holds, at most; the counts of all others are joined.
 HELD = 1 << 16
 #: Neighbours at each side, and hidden units.
@@ -39,7 +44,7 @@ RATE = 0.08
 #: Positions of a training step.
 BATCH = 2048
 #: Positions scored at once.
-SCORED = 512
+SCORED = 4096
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -123,16 +128,12 @@ def masked(h: np.ndarray, bounds: np.ndarray, turn: int, rounds: int) -> np.ndar
     return np.flatnonzero(mix(h + position.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(rounds) == U64(turn))
 
 
-_SHAPES = {"E": (2 * WINDOW, VOCABULARY + 1, HIDDEN), "b": (HIDDEN,), "U": (HIDDEN, VOCABULARY), "c": (VOCABULARY,)}
+_SHAPES = {"E": (2 * WINDOW, VOCABULARY + 1, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GROUPS), "d": (GROUPS,), "U": (GROUPS, HIDDEN, MEMBERS), "c": (GROUPS, MEMBERS)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
 class Network:
-    """The weights as one vector with named views.
-
-    Scores and slopes are computed in arrays that are used again: to have the
-    system clear new memory takes longer than the arithmetic.
-    """
+    """The weights as one vector with named views."""
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
@@ -142,7 +143,6 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, self.flat[at:at + size].reshape(shape))
             at += size
-        self.room, self.slope = None, None
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         out = np.tile(self.b, (len(around), 1))
@@ -150,44 +150,78 @@ class Network:
             out += self.E[k][around[:, k]]
         return np.tanh(out, out)
 
-    def logits(self, hidden: np.ndarray) -> np.ndarray:
-        """Valid until the next call."""
-        if self.room is None:
-            self.room = np.empty((BATCH, VOCABULARY), np.float32)
-        z = np.matmul(hidden, self.U, out=self.room[:len(hidden)])
-        z += self.c
+    def groups(self, hidden: np.ndarray) -> np.ndarray:
+        """``[group, row]`` scores; rows stand last, so that sums over the choices add whole rows of numbers."""
+        return self.V.T @ hidden.T + self.d[:, None]
+
+    def members(self, hidden: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """``[member, row]`` scores of the classes in each row's group; the rows of group ``g`` are ``cuts[g]`` to ``cuts[g + 1]``."""
+        z = np.empty((MEMBERS, len(hidden)), np.float32)
+        for g, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if j > i:
+                np.matmul(self.U[g].T, hidden[i:j].T, out=z[:, i:j])
+                z[:, i:j] += self.c[g][:, None]
         return z
 
     def log_p(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.float32)
         for i in range(0, len(ids), SCORED):
-            z = self.logits(self.hidden(around[i:i + SCORED]))
-            own = z[np.arange(len(z)), ids[i:i + SCORED]]
-            top = z.max(1, keepdims=True)
-            z -= top
-            np.exp(z, z)
-            out[i:i + SCORED] = own - top[:, 0] - np.log(z.sum(1))
+            order, cuts, group, member = by_group(ids[i:i + SCORED])
+            h = self.hidden(around[i:i + SCORED][order])
+            out[i + order] = chosen(self.groups(h), group) + chosen(self.members(h, cuts), member)
         return out
 
-    def learn(self, around: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
-        """One step of Adagrad; ``squares`` is a network of summed squared slopes."""
-        if self.slope is None:
-            self.slope = Network(np.zeros(_SIZE, np.float32))
-        slope = self.slope
+    def slopes(self, around: np.ndarray, ids: np.ndarray) -> Network:
+        """Of the mean negated log-probability."""
+        slope = Network(np.zeros(_SIZE, np.float32))
+        order, cuts, group, member = by_group(ids)
+        around = around[order]
         h = self.hidden(around)
-        z = self.logits(h)
-        z -= z.max(1, keepdims=True)
-        np.exp(z, z)
-        z /= z.sum(1, keepdims=True) * np.float32(len(ids))
-        z[np.arange(len(z)), ids] -= np.float32(1 / len(ids))
-        back = (z @ self.U.T) * (1 - h * h)
-        slope.U[:], slope.c[:], slope.b[:] = h.T @ z, z.sum(0), back.sum(0)
-        unit, weights = np.arange(HIDDEN), back.ravel()
+        z, y = misses(self.groups(h), group), misses(self.members(h, cuts), member)
+        slope.V[:], slope.d[:] = (z @ h).T, z.sum(1)
+        back = z.T @ self.V.T
+        for g, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if j > i:
+                slope.U[g], slope.c[g] = (y[:, i:j] @ h[i:j]).T, y[:, i:j].sum(1)
+                back[i:j] += y[:, i:j].T @ self.U[g].T
+        back *= 1 - h * h
+        slope.b[:] = back.sum(0)
+        unit, weights = np.arange(HIDDEN), back.ravel().astype(np.float64)
         for k in range(2 * WINDOW):
             cell = (around[:, k, None] * HIDDEN + unit).ravel()
             slope.E[k] = np.bincount(cell, weights, (VOCABULARY + 1) * HIDDEN).reshape(-1, HIDDEN)
-        squares += slope.flat ** 2
-        self.flat -= RATE * slope.flat / np.sqrt(squares + 1e-8)
+        return slope
+
+    def learn(self, around: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
+        """One step of Adagrad; ``squares`` are the summed squared slopes."""
+        slope = self.slopes(around, ids).flat
+        squares += slope ** 2
+        self.flat -= RATE * slope / np.sqrt(squares + 1e-8)
+
+
+def by_group(ids: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """The order of classes by group, where each group begins in it, and the groups and members in that order."""
+    group, member = ids // MEMBERS, ids % MEMBERS
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    group = group[order]
+    return order, np.searchsorted(group, np.arange(GROUPS + 1)).tolist(), group, member[order]
+
+
+def chosen(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log-probabilities of one choice a row, from the ``[choice, row]`` scores of all, which are overwritten."""
+    z -= z.max(0)
+    own = z[choice, np.arange(len(choice))]
+    return own - np.log(np.exp(z, z).sum(0))
+
+
+def misses(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Probabilities less the choices made, by the number of rows; in place of the scores."""
+    z -= z.max(0)
+    np.exp(z, z)
+    z /= z.sum(0)
+    z[choice, np.arange(len(choice))] -= 1
+    z /= np.float32(max(1, len(choice)))
+    return z
 
 
 def train(docs: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> Network:

@@ -409,6 +409,47 @@ def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], abs=1e-3)
 
 
+def _network(seed=3, rows=300):
+    rng = np.random.default_rng(seed)
+    net = masked_lm.Network((rng.standard_normal(masked_lm._SIZE) * 0.5).astype(np.float32))
+    around = rng.integers(0, masked_lm.VOCABULARY + 1, (rows, 2 * masked_lm.WINDOW))
+    return net, around, rng.integers(0, masked_lm.VOCABULARY, rows)
+
+
+def _plain_log_p(net, around, ids):
+    """One token after another, in double precision."""
+    out = []
+    for near, i in zip(around, ids):
+        h = np.tanh(sum(net.E[k][a].astype(float) for k, a in enumerate(near)) + net.b)
+        group, member = divmod(int(i), masked_lm.MEMBERS)
+        both = [(h @ net.V + net.d, group), (h @ net.U[group] + net.c[group], member)]
+        out.append(sum(z[c] - np.log(np.exp(z).sum()) for z, c in both))
+    return np.array(out)
+
+
+def test_masked_lm_scores_match_plain_arithmetic():
+    net, around, ids = _network()
+    assert np.allclose(net.log_p(around, ids), _plain_log_p(net, around, ids), atol=1e-4)
+    # probabilities of all classes sum to one
+    every = np.arange(masked_lm.VOCABULARY)
+    assert np.exp(net.log_p(np.tile(around[0], (len(every), 1)), every).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    assert net.log_p(around[:0], ids[:0]).shape == (0,)
+
+
+def test_masked_lm_slopes_match_differences():
+    net, around, ids = _network(4, 40)
+    slope = net.slopes(around, ids).flat
+    rng, step = np.random.default_rng(5), 1e-2
+    some = np.concatenate([rng.choice(np.flatnonzero(slope), 60), rng.integers(0, masked_lm._SIZE, 20)])
+    for at in some:
+        moved = []
+        for sign in (1, -1):
+            flat = net.flat.copy()
+            flat[at] += sign * step
+            moved.append(-_plain_log_p(masked_lm.Network(flat), around, ids).mean())
+        assert slope[at] == pytest.approx((moved[0] - moved[1]) / (2 * step), abs=2e-4)
+
+
 def test_masked_lm_trains_on_every_position():
     def columns(texts):
         data = [t.encode() for t in texts]
