@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clickpath.llm import cap_dedup, decontaminate, graph, langid_nb, masked_lm, phrase_dedup, pii_crf, queries, repeats, sentencepiece_nbest, simhash_cover, suffix_dedup, toxicity_mil
+from clickpath.llm import cap_dedup, decontaminate, graph, langid_nb, masked_lm, phrase_dedup, pii_crf, queries, repeats, sentencepiece_nbest, simhash_cover, suffix_dedup, textops, toxicity_mil
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n "), (None, "no id here at all"), (5, "x" * 30000), (6, "same text again and again " * 40), (7, "same text again and again " * 40), (7, "same text again and again " * 40)]
@@ -150,6 +150,17 @@ def test_suffix_dedup_matches_brute_force(docs):
     assert got == want and sum(v[1] for v in want.values()) > 10000
 
 
+def test_gram_hashes_match_one_unit_at_a_time():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64)
+    for n in (1, 2, 3, 7, 10, 16, 20, 24, 50):
+        for size in (n, n + 1, 400):
+            out = np.zeros(size - n + 1, np.uint64)
+            for j in range(n):
+                out = out * np.uint64(textops._P) + h[j:size - n + 1 + j]
+            assert (textops.gram_hashes(h[:size], n) == textops.mix(out)).all()
+        assert len(textops.gram_hashes(h[:n - 1], n)) == 0
+
+
 def test_suffix_solver_sorts_only_anchors_of_several_contexts():
     rng = random.Random(12)
     shared = bytes(rng.randrange(97, 123) for _ in range(70))
